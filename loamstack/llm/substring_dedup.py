@@ -29,12 +29,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Powers, in_batches, mixed, partitions, require, rolling, written
+from ._shared import Powers, in_batches, mixed, partitions, require, rolling
 
 _KEY, _FOUND = "_ss_key", "_ss_found"
 _U64, _U32 = np.dtype("<u8"), np.dtype("<u4")
@@ -92,18 +93,18 @@ def _expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return start + np.arange(total)
 
 
-#: What travels: bucket -1 holds finds that are sure already (key in ``a``, place in ``b``), others go on to a bucket.
+#: What travels to a bucket: records to compare (no key), or finds that are sure already (a document's key and its places).
 _SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("blob", T.BinaryType())])
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
 _FOUND_ARROW = pa.schema([("key", pa.int64()), ("blob", pa.binary())])
 
 
-def _sure(key: np.ndarray, place: np.ndarray):
-    """One row per document: the places (uint32) found in it."""
+def _sure(key: np.ndarray, place: np.ndarray, buckets: int = 1):
+    """One row per document: the places (uint32) found in it, on their way through any bucket."""
     order, starts, _ = _runs(key)
     key, place = key[order], place[order].astype(_U32)
     ends = np.append(starts[1:], len(key))
-    return [(-1, int(np.int64(np.uint64(key[a]).astype(np.int64))), place[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [(int(key[a] % np.uint64(buckets)), int(key[a].astype(np.int64)), place[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def _sent(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
@@ -117,7 +118,7 @@ def _collapsed(buckets: int, deal: np.ndarray, keys: tuple[np.ndarray, ...], key
     order, starts, run = _runs(*keys)
     size = np.bincount(run, minlength=len(starts)) if len(order) else np.empty(0, np.int64)
     again = size[run] > 1
-    rows = _sure(key[order][again], place[order][again]) if again.any() else []
+    rows = _sure(key[order][again], place[order][again], buckets) if again.any() else []
     one = order[starts]
     record = np.empty(len(one), [*((f"k{i}", _U64) for i in range(len(keys))), ("key", _U64), ("place", _U32), ("more", np.uint8)])
     for i, k in enumerate(keys):
@@ -135,10 +136,14 @@ def _meet(keys: int):
     kind = np.dtype([*((f"k{i}", _U64) for i in range(keys)), ("key", _U64), ("place", _U32), ("more", np.uint8)])
 
     def meet(batches):
-        """A bucket may come as several batches; its partition holds whole buckets."""
+        """A bucket may come as several batches; its partition holds whole buckets. What is sure passes through."""
         blobs: dict[int, list[bytes]] = {}
         for b in batches:
-            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            open_ = pc.is_null(b.column(1))
+            if (sure := b.filter(pc.invert(open_))).num_rows:
+                yield pa.RecordBatch.from_arrays(sure.columns[1:], schema=_FOUND_ARROW)
+            b = b.filter(open_)
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 blobs.setdefault(bucket, []).append(blob)
         for held in blobs.values():
             r = np.frombuffer(b"".join(held), kind)
@@ -154,9 +159,8 @@ def _meet(keys: int):
 
 def _gathered(sent: DataFrame, keys: int, buckets: int) -> DataFrame:
     """One row per document with all its found places."""
-    sure = sent.filter("bucket < 0").select("key", "blob")
-    met = sent.filter("bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").mapInArrow(_meet(keys), "key long, blob binary")
-    return sure.unionByName(met).groupBy(F.col("key").alias(_KEY)).agg(F.collect_list("blob").alias(_FOUND))
+    met = sent.repartition(buckets, "bucket").mapInArrow(_meet(keys), "key long, blob binary")
+    return met.groupBy(F.col("key").alias(_KEY)).agg(F.collect_list("blob").alias(_FOUND))
 
 
 def find_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", width: int = 35, prefix: int = 18, bucket_rows: int = 4_000_000) -> DataFrame:
@@ -183,14 +187,14 @@ def find_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                 g, key, first = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield _sent(_collapsed(buckets, g, (g,), key, first))
 
-    sent = written(slim.mapInArrow(count, _SENT), "anchors")
-    anchors = _gathered(sent, 1, buckets)
+    anchors = _gathered(slim.mapInArrow(count, _SENT), 1, buckets)
+    place, last = keyed.columns.index(text), len(keyed.columns)
 
     def compare(batches):
         split = Anchors(width, prefix)
         for table in in_batches(batches, 12 << 20):
             parts = []
-            for key, raw, blobs in zip(table.column(0).to_pylist(), table.column(1).cast(pa.binary()).to_pylist(), table.column(2).to_pylist(), strict=True):
+            for key, raw, blobs in zip(table.column(last - 1).to_pylist(), table.column(place).cast(pa.binary()).to_pylist(), table.column(last).to_pylist(), strict=True):
                 codes = split.word_codes(raw)
                 g, first, n = split.of(codes)
                 wanted = np.unique(np.concatenate([np.frombuffer(b, _U32) for b in blobs])).astype(np.int64)
@@ -201,9 +205,10 @@ def find_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
             if len(g):
                 yield _sent(_collapsed(buckets, g, (g, h), key, starts))
 
-    again = written(slim.join(anchors, _KEY).select(_KEY, text, _FOUND).mapInArrow(compare, _SENT), "windows")
-    windows = _gathered(again, 2, buckets)
-    return keyed.join(windows, _KEY, "left")
+    # both joins deal all columns of the documents by the same key, so that Spark shuffles the texts once and reads them twice
+    suspects = keyed.join(anchors, _KEY).select(*keyed.columns, _FOUND)
+    windows = _gathered(suspects.mapInArrow(compare, _SENT), 2, buckets)
+    return keyed.join(windows, _KEY, "left").select(*keyed.columns, _FOUND)
 
 
 def _removed(n: int, blobs: list[bytes] | None, width: int) -> np.ndarray:

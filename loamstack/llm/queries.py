@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash, substring_dedup
+from . import decontaminate, extraction, packing, sharding, simhash, substring_dedup, topk, warc
 from ._shared import read_table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(read_table(spark, sf_dir, "pages"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.report(read_table(spark, sf_dir, "pages"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read_table(spark, sf_dir, "documents"))
 
@@ -22,4 +38,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_decontaminate, op8_simhash, op9_substring_dedup)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(read_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op3_warc, op4_packing, op5_decontaminate, op6_extraction, op7_topk, op8_simhash, op9_substring_dedup, op10_sharding)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -93,21 +93,28 @@ def _expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return start + np.arange(total)
 
 
-#: What travels to a bucket: records to compare (no key), or finds that are sure already (a document's key and its places).
-_SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("blob", T.BinaryType())])
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
-_FOUND_ARROW = pa.schema([("key", pa.int64()), ("blob", pa.binary())])
+#: What travels to a bucket: records to compare, or finds that are sure already (documents' keys and places in them).
+_SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("sure", T.BooleanType()), T.StructField("blob", T.BinaryType())])
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("sure", pa.bool_()), ("blob", pa.binary())])
+_FOUND_ARROW = pa.schema([(_KEY, pa.int64()), (_FOUND, pa.binary())])
+_PLACE = np.dtype([("key", _U64), ("place", _U32)])
 
 
-def _sure(key: np.ndarray, place: np.ndarray, buckets: int = 1):
-    """One row per document: the places (uint32) found in it, on their way through any bucket."""
-    order, starts, _ = _runs(key)
-    key, place = key[order], place[order].astype(_U32)
-    ends = np.append(starts[1:], len(key))
-    return [(int(key[a] % np.uint64(buckets)), int(key[a].astype(np.int64)), place[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+def _sure(key: np.ndarray, place: np.ndarray, buckets: int) -> list[tuple[int, bool, bytes]]:
+    """Finds, packed by the bucket of their document: a few large rows, however many documents there are."""
+    out = np.empty(len(key), _PLACE)
+    out["key"], out["place"] = key, place
+    return [(b, True, x.tobytes()) for b, x in _by_bucket(out, mixed(key), buckets)]
 
 
-def _sent(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
+def _by_bucket(records: np.ndarray, deal: np.ndarray, buckets: int):
+    to = (deal % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    at = np.searchsorted(to[by], np.arange(buckets + 1))
+    return [(b, records[by[at[b] : at[b + 1]]]) for b in range(buckets) if at[b + 1] > at[b]]
+
+
+def _sent(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _SENT_ARROW.field(i).type) for i in range(3)], schema=_SENT_ARROW)
 
 
@@ -124,14 +131,10 @@ def _collapsed(buckets: int, deal: np.ndarray, keys: tuple[np.ndarray, ...], key
     for i, k in enumerate(keys):
         record[f"k{i}"] = k[one]
     record["key"], record["place"], record["more"] = key[one], place[one], size > 1
-    to = (mixed(deal[one]) % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(to, kind="stable")
-    at = np.searchsorted(to[by], np.arange(buckets + 1))
-    rows += [(b, None, record[by[at[b] : at[b + 1]]].tobytes()) for b in range(buckets) if at[b + 1] > at[b]]
-    return rows
+    return rows + [(b, False, x.tobytes()) for b, x in _by_bucket(record, mixed(deal[one]), buckets)]
 
 
-def _meet(keys: int):
+def _meet(keys: int, buckets: int):
     """In a bucket: records that meet an equal one, or come marked, are found; a marked one is known at home."""
     kind = np.dtype([*((f"k{i}", _U64) for i in range(keys)), ("key", _U64), ("place", _U32), ("more", np.uint8)])
 
@@ -139,10 +142,9 @@ def _meet(keys: int):
         """A bucket may come as several batches; its partition holds whole buckets. What is sure passes through."""
         blobs: dict[int, list[bytes]] = {}
         for b in batches:
-            open_ = pc.is_null(b.column(1))
-            if (sure := b.filter(pc.invert(open_))).num_rows:
-                yield pa.RecordBatch.from_arrays(sure.columns[1:], schema=_FOUND_ARROW)
-            b = b.filter(open_)
+            if (sure := b.filter(b.column(1))).num_rows:
+                yield sure
+            b = b.filter(pc.invert(b.column(1)))
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 blobs.setdefault(bucket, []).append(blob)
         for held in blobs.values():
@@ -151,20 +153,35 @@ def _meet(keys: int):
             size = np.bincount(run, minlength=len(starts))
             found = order[(size[run] > 1) & (r["more"][order] == 0)]
             if len(found):
-                rows = _sure(r["key"][found], r["place"][found])
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], _FOUND_ARROW.field(i - 1).type) for i in (1, 2)], schema=_FOUND_ARROW)
+                yield _sent(_sure(r["key"][found], r["place"][found], buckets))
 
     return meet
 
 
+def _gather(batches):
+    """One row per document, with all its finds: a partition holds whole documents."""
+    held = [np.frombuffer(x, _PLACE) for b in batches for x in b.column(2).to_pylist()]
+    if not held:
+        return
+    r = np.concatenate(held)
+    order, starts, _ = _runs(r["key"], r["place"].astype(_U64))
+    key, place = r["key"][order], r["place"][order]
+    key, place = key[starts], place[starts]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = np.append(edge[1:], len(key)).tolist()
+    for s in range(0, len(edge), 10_000):
+        some = edge[s : s + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(key[some].astype(np.int64)), pa.array([place[a:b].tobytes() for a, b in zip(some.tolist(), ends[s : s + 10_000], strict=True)], pa.binary())], schema=_FOUND_ARROW)
+
+
 def _gathered(sent: DataFrame, keys: int, buckets: int) -> DataFrame:
-    """One row per document with all its found places."""
-    met = sent.repartition(buckets, "bucket").mapInArrow(_meet(keys), "key long, blob binary")
-    return met.groupBy(F.col("key").alias(_KEY)).agg(F.collect_list("blob").alias(_FOUND))
+    """One row per document: its key and the places found in it."""
+    met = sent.repartition(buckets, "bucket").mapInArrow(_meet(keys, buckets), _SENT)
+    return met.repartition(buckets, "bucket").mapInArrow(_gather, f"{_KEY} long, {_FOUND} binary")
 
 
 def find_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", width: int = 35, prefix: int = 18, bucket_rows: int = 4_000_000) -> DataFrame:
-    """``docs`` with ``_ss_key`` and ``_ss_found``: blobs of the uint32 starts of repeated windows (null: none)."""
+    """``docs`` with ``_ss_key`` and ``_ss_found``: the uint32 starts of repeated windows (null: none)."""
     require(docs, **{text: T.StringType})
     if not 0 < prefix <= width:
         raise ValueError("prefix must lie in 1..width")
@@ -197,7 +214,7 @@ def find_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
             for key, raw, blobs in zip(table.column(last - 1).to_pylist(), table.column(place).cast(pa.binary()).to_pylist(), table.column(last).to_pylist(), strict=True):
                 codes = split.word_codes(raw)
                 g, first, n = split.of(codes)
-                wanted = np.unique(np.concatenate([np.frombuffer(b, _U32) for b in blobs])).astype(np.int64)
+                wanted = np.frombuffer(blobs, _U32).astype(np.int64)
                 at = np.flatnonzero(np.isin(first, wanted, assume_unique=True))
                 starts = _expanded(first[at], n[at])
                 parts.append((np.repeat(g[at], n[at]), split.windows(codes)[starts], np.full(len(starts), key, np.int64).view(_U64), starts))
@@ -211,11 +228,11 @@ def find_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     return keyed.join(windows, _KEY, "left").select(*keyed.columns, _FOUND)
 
 
-def _removed(n: int, blobs: list[bytes] | None, width: int) -> np.ndarray:
+def _removed(n: int, found: bytes | None, width: int) -> np.ndarray:
     """Which of ``n`` words a repeated window covers."""
-    if not blobs:
+    if not found:
         return np.zeros(n, bool)
-    starts = np.concatenate([np.frombuffer(b, _U32) for b in blobs]).astype(np.int64)
+    starts = np.frombuffer(found, _U32).astype(np.int64)
     edge = np.bincount(starts, minlength=n + 1)[: n + 1] > 0
     level = np.cumsum(edge) - np.cumsum(np.concatenate([np.zeros(width, bool), edge])[: n + 1])
     return level[:n] > 0

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extraction, packing, sharding, simhash, substring_dedup, topk, warc
+from . import decontaminate, extraction, langid, packing, sharding, simhash, substring_dedup, topk, toxicity, warc
 from ._shared import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(read_table(spark, sf_dir, "pages"))
 
@@ -42,5 +50,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(read_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op3_warc, op4_packing, op5_decontaminate, op6_extraction, op7_topk, op8_simhash, op9_substring_dedup, op10_sharding)
+_ALL = (op1_toxicity, op2_langid, op3_warc, op4_packing, op5_decontaminate, op6_extraction, op7_topk, op8_simhash, op9_substring_dedup, op10_sharding)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -214,6 +214,51 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return printed.join(by_class, "fp").select(id_col, "fp", "component")
 
 
+def _sketch(raw: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    words = raw.translate(_LOWER).split() if raw else []
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 4, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the documents that are near copies of one that stays: the least id of their component.
+
+    A document goes only if the Jaccard similarity of its shingles to those of the one that stays is ``similarity`` or more, so a
+    chain of links never takes a text that is its own; texts without a word count as equal. Rows that repeat the id of the one
+    that stays stay too; documents with a null id stay. Extra columns pass through."""
+    found = near_duplicates(docs.select(id_col, text), id_col=id_col, text=text, shingle=shingle, distance=distance)
+    suspects = written(found.filter(F.col("component").isNotNull() & (F.col(id_col) != F.col("component"))).select(F.col(id_col).alias("_sh_id"), F.col("component").alias("_sh_keep")).distinct(), "suspects")
+    # a hash of the folded text settles exact copies; only other suspects are compared shingle by shingle
+    kept_ids = suspects.select(F.col("_sh_keep").alias("_sh_id")).distinct()
+
+    def sketches(batches):
+        for table in in_batches(batches, 12 << 20):
+            blobs = [_sketch(x, shingle).astype("<u8").tobytes() for x in table.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch({"_sh_id": table.column(0).combine_chunks(), "_sh_set": pa.array(blobs, pa.binary())})
+
+    kind = T.StructType([T.StructField("_sh_id", docs.schema[id_col].dataType), T.StructField("_sh_set", T.BinaryType())])
+    slim = docs.select(F.col(id_col).alias("_sh_id"), text)
+    # the set of one that stays is read by all its copies, however many: it is joined per distinct set of the copies
+    own = written(slim.join(suspects, "_sh_id").select("_sh_id", text).mapInArrow(sketches, kind).join(suspects, "_sh_id").groupBy("_sh_keep", "_sh_set").agg(F.collect_list("_sh_id").alias("_sh_ids")), "copies")
+    base = slim.join(kept_ids, "_sh_id", "left_semi").mapInArrow(sketches, kind).groupBy(F.col("_sh_id").alias("_sh_keep")).agg(F.min("_sh_set").alias("_sh_base"))
+
+    def compare(batches):
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.filter(pa.array(near)).select(["_sh_ids"])
+
+    pairs = own.join(base, "_sh_keep").select("_sh_ids", "_sh_set", "_sh_base")
+    gone = pairs.mapInArrow(compare, T.StructType([own.schema["_sh_ids"]])).select(F.explode("_sh_ids").alias("_sh_id")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_sh_id"), "left_anti")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: fingerprint in hex and component."""
     found = near_duplicates(docs)

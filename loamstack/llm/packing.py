@@ -42,10 +42,28 @@ _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\s
 _WORDWISE = {"normalizer": ["NFC", "Replace", "Lowercase"], "pre": ["Split", "ByteLevel"]}
 
 
+def _byte_spelling() -> dict[int, int]:
+    """Byte-level tokenizers spell each byte as a printable character: itself, or the next free one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_SPELT = _byte_spelling()
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One encoder per worker process: what it remembers serves all of the worker's tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class Encoder(dict):
     """Token ids of whole texts as little-endian uint32 bytes; single words are remembered, as many as fit."""
 
-    def __init__(self, path: str, most_words: int = 300_000) -> None:
+    def __init__(self, path: str, most_words: int = 1_200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -54,6 +72,7 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         parts = lambda x, k: [p["type"] for p in (x or {}).get(k, [x or {"type": ""}])]
         self.wordwise = parts(spec["normalizer"], "normalizers") == _WORDWISE["normalizer"] and parts(spec["pre_tokenizer"], "pretokenizers") == _WORDWISE["pre"] and not spec["pre_tokenizer"]["pretokenizers"][1]["use_regex"]
@@ -64,7 +83,8 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = self[word] = self.whole(word)
+        # a word is one piece: only the model's merges are left to do, on the byte-level spelling
+        ids = self[word] = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SPELT))], "<u4").tobytes()
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -86,7 +106,7 @@ def pieces(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", capac
     kind = T.StructType([T.StructField("uid", T.LongType()), docs.schema[id_col], *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long").fields])
 
     def cut(batches):
-        encoder, uid = Encoder(path), TaskContext.get().partitionId() << 33
+        encoder, uid = encoder_for(path), TaskContext.get().partitionId() << 33
         for table in in_batches(batches, 24 << 20):
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(table.column(1).to_pylist()):

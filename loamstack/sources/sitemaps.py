@@ -36,7 +36,7 @@ def parse_sitemap(content: bytes | None) -> list[dict]:
 
 def rss_url(c):
     """The sibling ``rss.xml`` of a sitemap's URL."""
-    return F.regexp_replace(c, "[^/]*$", "rss.xml")
+    return F.concat(F.regexp_extract(c, "^(.*/)", 1), F.lit("rss.xml"))
 
 
 def discover(files: DataFrame, roots: DataFrame, *, most_depth: int = 3) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,7 +21,16 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _WORD = (1 << 64) - 1
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Arrow batches of texts small enough for executors of a few GB; a setting that is stricter already stays."""
+    for key, most, now in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows, 10_000), ("spark.sql.execution.arrow.maxBytesPerBatch", size, 64 << 20)):
+        held = re.match(r"(-?\d+)", spark.conf.get(key, str(now)))
+        if held and (int(held[1]) <= 0 or int(held[1]) >= now):
+            spark.conf.set(key, str(most))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -103,8 +115,15 @@ def rolling(codes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     return mixed((total[width:] - total[:-width]) * powers.down[: n - width + 1])
 
 
-def in_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 48 << 20, most_rows: int = 20_000) -> Iterator[pa.Table]:
-    """Joins small Arrow batches into tables of bounded size."""
+def free_memory() -> None:
+    """Gives what a task has freed back to the system: workers live on, and an operator's leavings would burden the next one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 16 << 20, most_rows: int = 20_000) -> Iterator[pa.Table]:
+    """Joins small Arrow batches into tables of bounded size; frees what the task has left when they end."""
     held, rows, size = [], 0, 0
     for b in batches:
         if not b.num_rows:
@@ -116,7 +135,5 @@ def in_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 48 << 20, mo
             held, rows, size = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
-
-
-def emit(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(k).type) for k, x in columns.items()], schema=schema)
+    held = []
+    free_memory()

@@ -63,7 +63,7 @@ def encoder_for(path: str) -> Encoder:
 class Encoder(dict):
     """Token ids of whole texts as little-endian uint32 bytes; single words are remembered, as many as fit."""
 
-    def __init__(self, path: str, most_words: int = 1_200_000) -> None:
+    def __init__(self, path: str, most_words: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", capac
 
     def cut(batches):
         encoder, uid = encoder_for(path), TaskContext.get().partitionId() << 33
-        for table in in_batches(batches, 24 << 20):
+        for table in in_batches(batches, 8 << 20):
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(table.column(1).to_pylist()):
                 ids = (encoder.encode(t) if t else b"") + tail

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, extraction, langid, packing, sharding, simhash, substring_dedup, topk, toxicity, warc
 from ._shared import read_table
+from .oracles import ORACLE_SQL  # noqa: F401  part of this module's contract
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

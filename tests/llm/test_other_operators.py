@@ -260,3 +260,26 @@ def test_label_model_learns_accuracies_and_dependence():
     model, q = toxicity.LabelModel.fit(votes, labels)
     assert np.mean((q > 0.5) == truth) > 0.94 and model.shares[0] > 0.8 and model.shares[1:].max() < 0.5
     assert model.rates[1, 0] > 0.7 and model.rates[0, 0] < 0.06
+
+
+# --- SQL ---------------------------------------------------------------------------------------------------------------
+
+
+def test_queries_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from pathlib import Path
+
+    from loamstack.llm.queries import ORACLE_SQL, QUERIES
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
+    for name, sql in ORACLE_SQL.items():
+        got = QUERIES[name](spark, str(data))
+        answer = con.execute(sql)
+        columns = [d[0] for d in answer.description]
+        assert sorted(columns) == sorted(got.columns), name
+        assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, answer.fetchall())), name

@@ -82,3 +82,8 @@ def fallback_summary(c: Column | str) -> Column:
         F.concat(F.lit("- Rubro: "), at("$.activity.ciiu_principal"), F.lit(" / "), at("$.activity.tipo_contribuyente")),
         F.concat(F.lit("- Lugar: "), at("$.activity.distrito"), F.lit(" / "), at("$.activity.nro_trabajadores")),
     )
+
+
+def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that occur more than once."""
+    return rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)

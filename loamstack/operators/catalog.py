@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.flags import column_header, has_mark
-from ..functions.text import catalogue_code, col, fingerprint, match_key, slug, squeeze, strip_edges, sub_procedure, token_count
+from ..functions.text import catalogue_code, fingerprint, match_key, slug, squeeze, strip_edges, sub_procedure, token_count
 
 COLUMNS = ("codigo", "denominacion_y_base_legal", "requisitos", "formularios", "costo", "calificacion_automatica", "evaluacion_previa_positiva", "evaluacion_previa_negativa", "plazo", "inicio_procedimiento", "autoridad_competente", "reconsideracion", "reclamo", "apelacion")
 MARKS = {"calificacion_automatica": "Automático", "evaluacion_previa_positiva": "Evaluación previa con silencio positivo", "evaluacion_previa_negativa": "Evaluación previa con silencio negativo"}
@@ -163,7 +163,7 @@ _LONG = ("fundamento_legal", "requisitos", "formularios")
 
 def chunk_parents(records: DataFrame, *, target: int = 450, most: int = 650) -> DataFrame:
     """Chunks of parent records: long fields by paragraphs, short ones in groups, the whole record where nothing else is left."""
-    from .chunking import pack_units
+    from .sections import packed_sections
 
     present = lambda c: F.coalesce(F.col(f"fields.{c}"), F.lit("")) != ""
     specs = [F.when(present(c), F.struct(F.lit(i).alias("ord"), F.lit(c).alias("content_type"), F.lit(LABELS[c]).alias("content_label"), F.col(f"fields.{c}").alias("body"))) for i, c in enumerate(_LONG)]
@@ -174,17 +174,13 @@ def chunk_parents(records: DataFrame, *, target: int = 450, most: int = 650) ->
     whole = F.array(F.struct(F.lit(99).alias("ord"), F.lit("documento_completo").alias("content_type"), F.lit("Contenido completo").alias("content_label"), F.col("page_content").alias("body")))
     sections = records.withColumn("_s", F.explode(F.when(F.size(found) > 0, found).otherwise(whole))).select("*", "_s.*").drop("_s")
     line = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{label}: "), F.col(c)))
-    head = F.concat_ws("\n", F.lit("SUNAT - TUPA 2018"), F.concat(F.when(F.col("code").startswith("SERVICIO "), "Servicio").otherwise("Procedimiento TUPA"), F.lit(": "), F.col("code")), F.concat(F.lit("Nombre: "), F.col("title")), line("Sección", "section"), line("Categoría", "category"), line("Estado en la fuente", "status"), line("Tipo de contenido", "content_label"))
-    sections = sections.withColumn("_head", head)
-    room = F.greatest(F.lit(40), F.lit(most) - token_count("_head") - 4)
-    sections = sections.withColumn("_most", room).withColumn("_target", F.greatest(F.lit(30), F.least(F.col("_most"), F.lit(target) - token_count("_head") - 4)))
-
-    @F.udf("array<string>", useArrow=True)
-    def packed(body: str, goal: int, limit: int) -> list[str]:
-        import re
-
-        return pack_units([p for p in map(str.strip, re.split(r"\n\s*\n", body or "")) if p], goal, limit)
-
-    rows = sections.select("*", F.posexplode(packed("body", "_target", "_most")).alias("_i", "raw_text")).withColumn("chunk_sequence", (F.col("_i") + 1).cast("int"))
+    head = F.concat_ws("\n", F.lit("SUNAT - TUPA 2018"), F.concat(F.when(F.col("code").startswith("SERVICIO "), "Servicio").otherwise("Procedimiento TUPA"), F.lit(": "), F.col("code")), F.concat(F.lit("Nombre: "), F.col("title")), line("Sección", "section"), line("Categoría", "category"), line("Estado en la fuente", "status"))
+    pack = F.udf(packed_sections, "array<struct<code:string,title:string,text:string>>")
+    subs = F.transform("subprocedures", lambda x: F.struct(x["code"].alias("code"), x["title"].alias("title")))
+    rows = sections.withColumn("_head", head).withColumn("_subs", subs)
+    rows = rows.select("*", F.posexplode(pack("body", "_subs", "_head", F.col("content_type").isin(*_LONG), F.lit(target), F.lit(most))).alias("_i", "_p"))
+    rows = rows.withColumn("chunk_sequence", (F.col("_i") + 1).cast("int")).withColumn("raw_text", F.col("_p.text")).withColumn("subprocedure_code", F.col("_p.code")).withColumn("subprocedure_title", F.col("_p.title"))
+    told = F.when(F.col("subprocedure_code").isNotNull(), F.concat(F.lit("Subprocedimiento: "), F.col("subprocedure_code"), F.when(F.coalesce("subprocedure_title", F.lit("")) != "", F.concat(F.lit(" - "), F.col("subprocedure_title"))).otherwise("")))
+    rows = rows.withColumn("_head", F.concat_ws("\n", F.col("_head"), told, line("Tipo de contenido", "content_label")))
     content = F.concat_ws("\n\n", "_head", "raw_text")
-    return rows.select(F.format_string("%s_%s_%03d", F.col("id"), slug("content_type"), F.col("chunk_sequence")).alias("id"), F.col("id").alias("parent_id"), "code", "content_type", "content_label", "chunk_sequence", token_count(content).alias("approx_tokens"), content.alias("page_content"), "raw_text", (F.col("ord") * 10_000 + F.col("chunk_sequence")).alias("seq"))
+    return rows.select(F.format_string("%s_%s_%03d", F.col("id"), slug("content_type"), F.col("chunk_sequence")).alias("id"), F.col("id").alias("parent_id"), "code", "title", "section", "category", "status", "content_type", "content_label", "subprocedure_code", "subprocedure_title", "chunk_sequence", token_count(content).alias("approx_tokens"), content.alias("page_content"), "raw_text", (F.col("ord") * 10_000 + F.col("chunk_sequence")).alias("seq"))

@@ -80,22 +80,28 @@ class Voters:
         return fired, hits, len(words)
 
 
+def wider(term: str) -> list[str]:
+    """The terms that fire wherever this one does: shorter beginnings and ends."""
+    kind, text = term[0], term[1:]
+    out = [f"^{text[:n]}" for n in _SPANS if kind in "=^" and (len(text) > n or kind == "=" and len(text) == n)]
+    return out + [f"${text[-n:]}" for n in _SPANS if kind in "=$" and (len(text) > n or kind == "=" and len(text) == n)]
+
+
 def mined(counts: list[tuple[str, int, int]], positives: int, negatives: int, *, most: int, least: int, lift: float) -> list[str]:
-    """The voters worth having: strong terms, without those that a term at least as good says already."""
-    good = []
+    """The voters worth having: strong terms; of terms that say the same the narrowest (a word before its beginning, lest other
+    words fire), and no narrow term whose wider one is a voter (a stem before each of its words)."""
+    good = {}
     for term, p, n in counts:
         rate1, rate0 = (p + 0.5) / (positives + 1), (n + 0.5) / (negatives + 1)
         if p >= least and rate1 >= lift * rate0:
-            good.append((p * np.log(rate1 / rate0), p, n, term))
-    good.sort(key=lambda x: (-x[0], len(x[3]), x[3]))
-    kept: list[tuple[int, int, str]] = []
-    for _, p, n, term in good:
-        if len(kept) >= most:
-            break
-        covered = any(abs(p - q) <= 0.05 * q and n >= m and (term[1:] in t[1:] or t[1:] in term[1:]) for q, m, t in kept)
-        if not covered:
-            kept.append((p, n, term))
-    return [t for _, _, t in kept]
+            good[term] = (p * np.log(rate1 / rate0), p)
+    narrower: Counter[str] = Counter()
+    for term, (_, p) in good.items():
+        for w in wider(term):
+            narrower[w] = max(narrower[w], p)
+    stems = {t for t, (_, p) in good.items() if narrower[t] < 0.95 * p}
+    kept = [t for t in stems if not any(w in stems for w in wider(t))]
+    return sorted(kept, key=lambda t: (-good[t][0], t))[:most]
 
 
 @dataclass

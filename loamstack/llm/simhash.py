@@ -231,31 +231,31 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str =
     that stays stay too; documents with a null id stay. Extra columns pass through."""
     found = near_duplicates(docs.select(id_col, text), id_col=id_col, text=text, shingle=shingle, distance=distance)
     suspects = written(found.filter(F.col("component").isNotNull() & (F.col(id_col) != F.col("component"))).select(F.col(id_col).alias("_sh_id"), F.col("component").alias("_sh_keep")).distinct(), "suspects")
-    # a hash of the folded text settles exact copies; only other suspects are compared shingle by shingle
     kept_ids = suspects.select(F.col("_sh_keep").alias("_sh_id")).distinct()
 
     def sketches(batches):
-        for table in in_batches(batches, 12 << 20):
+        for table in in_batches(batches, 8 << 20):
             blobs = [_sketch(x, shingle).astype("<u8").tobytes() for x in table.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch({"_sh_id": table.column(0).combine_chunks(), "_sh_set": pa.array(blobs, pa.binary())})
+            yield pa.record_batch({"_sh_id": table.column(0).combine_chunks(), "_sh_key": pa.array([xxhash.xxh3_128_digest(b) for b in blobs], pa.binary()), "_sh_set": pa.array(blobs, pa.binary())})
 
-    kind = T.StructType([T.StructField("_sh_id", docs.schema[id_col].dataType), T.StructField("_sh_set", T.BinaryType())])
+    kind = T.StructType([T.StructField("_sh_id", docs.schema[id_col].dataType), T.StructField("_sh_key", T.BinaryType()), T.StructField("_sh_set", T.BinaryType())])
     slim = docs.select(F.col(id_col).alias("_sh_id"), text)
-    # the set of one that stays is read by all its copies, however many: it is joined per distinct set of the copies
-    own = written(slim.join(suspects, "_sh_id").select("_sh_id", text).mapInArrow(sketches, kind).join(suspects, "_sh_id").groupBy("_sh_keep", "_sh_set").agg(F.collect_list("_sh_id").alias("_sh_ids")), "copies")
-    base = slim.join(kept_ids, "_sh_id", "left_semi").mapInArrow(sketches, kind).groupBy(F.col("_sh_id").alias("_sh_keep")).agg(F.min("_sh_set").alias("_sh_base"))
+    own = written(slim.join(suspects, "_sh_id").select("_sh_id", text).mapInArrow(sketches, kind).join(suspects, "_sh_id"), "copies")
+    # copies with the same shingles are compared once, however many they are: ids are never gathered
+    sets = own.groupBy("_sh_keep", "_sh_key").agg(F.first("_sh_set").alias("_sh_set"))
+    base = slim.join(kept_ids, "_sh_id", "left_semi").mapInArrow(sketches, kind).groupBy(F.col("_sh_id").alias("_sh_keep")).agg(F.first("_sh_set").alias("_sh_base"))
 
     def compare(batches):
         for b in batches:
             near = []
-            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.filter(pa.array(near)).select(["_sh_ids"])
+            yield b.filter(pa.array(near, pa.bool_())).select(["_sh_keep", "_sh_key"])
 
-    pairs = own.join(base, "_sh_keep").select("_sh_ids", "_sh_set", "_sh_base")
-    gone = pairs.mapInArrow(compare, T.StructType([own.schema["_sh_ids"]])).select(F.explode("_sh_ids").alias("_sh_id")).distinct()
+    near = sets.join(base, "_sh_keep").select("_sh_keep", "_sh_key", "_sh_set", "_sh_base").mapInArrow(compare, T.StructType([own.schema["_sh_keep"], own.schema["_sh_key"]]))
+    gone = own.select("_sh_id", "_sh_keep", "_sh_key").join(near, ["_sh_keep", "_sh_key"], "left_semi").select("_sh_id").distinct()
     return docs.join(gone, F.col(id_col) == F.col("_sh_id"), "left_anti")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import in_batches, partitions, require, written
+from ._shared import in_batches, require, written
 
 _MARGIN = 1e-6
 
@@ -122,7 +122,8 @@ def top_k(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_
     split = {r.cell: -(-r.n // block_rows) for r in summary}
     splits = F.element_at(F.create_map(*[F.lit(x) for r in summary for x in (r.cell, split[r.cell])]), F.col("cell"))
     blocks = cells.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), splits).cast("int")).select("id", "vec", "cell", "part")
-    asked = cells.filter(F.col("id") % every == 0).dropDuplicates(["id"])
+    # of rows that repeat a query's id the least vector asks, so that every run asks alike
+    asked = cells.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("vec", "cell")).alias("v")).select("id", "v.*")
     n_queries = asked.count()
     groups = max(1, -(-n_queries // query_rows))
     # queries of one cell lie together: blocks are cut along (cell, id)
@@ -148,8 +149,8 @@ def top_k(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_
     queries = written(order.mapInArrow(bounds, "id long, vec binary, q int, least long, cells array<int>"), "queries")
     needed = queries.select(F.col("q").alias("dq"), F.explode("cells").alias("cell")).distinct()
     data_side = blocks.join(needed, "cell").select("dq", "cell", "part", "id", "vec")
-    parts = spark.createDataFrame([(c, x) for c, n in split.items() for x in range(n)] if len(split) < 1 << 20 else [], "cell int, part int")
-    query_side = queries.select("q", "id", "vec", "least", F.explode("cells").alias("cell")).join(F.broadcast(parts), "cell")
+    asked_of = queries.select("q", "id", "vec", "least", F.explode("cells").alias("cell"))
+    query_side = asked_of.withColumn("part", F.explode(F.sequence(F.lit(0), (splits - 1).cast("int"))))
 
     def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []

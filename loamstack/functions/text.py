@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s+"
 EDGES = r"(?U)^\s+|\s+$"
 TOKEN = r"(?U)\w+|[^\w\s]"
+#: Weights of the modulo-11 check digit, from the left.
+WEIGHTS = "5432765432"
 
 
 @cache
@@ -108,7 +110,7 @@ def catalogue_code(c: Column | str) -> Column:
     t = F.regexp_replace(t, r"^[ .|]+|[ .|]+$", "")
     t = F.regexp_replace(F.regexp_replace(t, r"N\.?°", ""), SPACE, " ")
     t = F.regexp_replace(t, r"^([0-9]+)\.0+$", "$1")
-    code, service = r"^([0-9]+)(?:\s*-\s*([A-Z]))?$", r"^SERVICIO\s*([0-9]+)$"
+    code, service = r"^([0-9]+)(?:\s*[-]\s*([A-Z])){0,1}$", r"^SERVICIO\s*([0-9]+)$"
     letter = F.regexp_extract(t, code, 2)
     return (
         F.when(t.rlike(code), F.concat(_plain_number(F.regexp_extract(t, code, 1)), F.when(letter != "", F.concat(F.lit("-"), letter)).otherwise("")))
@@ -125,7 +127,7 @@ def sub_code(c: Column | str) -> Column:
 
 
 #: A sub-procedure line: a dotted code, then its title.
-SUB_LINE = r"(?is)^\s*0*([0-9]+(?:-[A-Z])?(?:\.[0-9]+)+)\s*(?:[.\-–—:]+\s*)?(.*)$"
+SUB_LINE = r"(?is)^\s*0*([0-9]+(?:-[A-Z]){0,1}(?:[.][0-9]+)+)\s*(?:[:—–.\-]+\s*){0,1}(.*)$"
 
 
 def sub_procedure(c: Column | str) -> Column:
@@ -138,7 +140,7 @@ def tax_id_valid(c: Column | str) -> Column:
     """Eleven digits, a known kind in front, and a modulo-11 check digit; null gives false."""
     t = strip_edges(c)
     digits = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.try_element_at(F.split(t, ""), i).try_cast("int"))
-    weights = F.array(*map(F.lit, (5, 4, 3, 2, 7, 6, 5, 4, 3, 2)))
+    weights = F.array(*(F.lit(int(w)) for w in WEIGHTS))
     total = F.aggregate(F.zip_with(digits, weights, lambda d, w: d * w), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
     rest = F.lit(11) - total % 11
     check = F.when(rest == 10, 0).when(rest == 11, 1).otherwise(rest)

@@ -7,24 +7,45 @@ Rows carry state from row to row (section, category, current code). That is a fo
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.flags import column_header, has_mark
 from ..functions.text import catalogue_code, fingerprint, match_key, slug, squeeze, strip_edges, sub_procedure, token_count
 
-COLUMNS = ("codigo", "denominacion_y_base_legal", "requisitos", "formularios", "costo", "calificacion_automatica", "evaluacion_previa_positiva", "evaluacion_previa_negativa", "plazo", "inicio_procedimiento", "autoridad_competente", "reconsideracion", "reclamo", "apelacion")
+COLUMNS = tuple("codigo denominacion_y_base_legal requisitos formularios costo calificacion_automatica evaluacion_previa_positiva evaluacion_previa_negativa plazo inicio_procedimiento autoridad_competente reconsideracion reclamo apelacion".split())
 MARKS = {"calificacion_automatica": "Automático", "evaluacion_previa_positiva": "Evaluación previa con silencio positivo", "evaluacion_previa_negativa": "Evaluación previa con silencio negativo"}
 LABELS = {
     "apelacion": "Apelación", "autoridad_competente": "Autoridad competente", "calificacion": "Calificación", "costo": "Derecho de tramitación / costo", "denominacion_adicional": "Información adicional de la denominación",
     "formularios": "Formularios, códigos y ubicaciones", "fundamento_legal": "Fundamento legal", "inicio_procedimiento": "Inicio del procedimiento / canal", "plazo": "Plazo para resolver", "reclamo": "Reclamo", "reconsideracion": "Reconsideración", "requisitos": "Requisitos",
 }
-_ORDER = ("fundamento_legal", "requisitos", "formularios", "costo", "calificacion", "plazo", "inicio_procedimiento", "autoridad_competente", "reconsideracion", "reclamo", "apelacion", "denominacion_adicional")
+_ORDER = tuple("fundamento_legal requisitos formularios costo calificacion plazo inicio_procedimiento autoridad_competente reconsideracion reclamo apelacion denominacion_adicional".split())
 _HEADERS = ("AUTORIDAD COMPETENTE", "DENOMINACION DEL PROCEDIMIENTO", "DERECHO DE TRAMITACION", "NUMERO DE ORDEN")
 _NOTES = ("INCORPORADO MEDIANTE", "MODIFICADO A SERVICIO", "MODIFICADO MEDIANTE", "ELIMINADO MEDIANTE")
 _NOTE = r"(?is)\s*\((?:INCORPORADO|MODIFICADO|ELIMINADO)\s+MEDIANTE.+$"
 
 
+@dataclass(frozen=True)
+class Wording:
+    """What an agency calls itself and its catalogue: texts that open records and chunks, and the keys that headers hold."""
+
+    banner: str = "Catálogo de procedimientos"
+    procedure: str = "Procedimiento"
+    service: str = "Servicio"
+    id_prefix: str = "proc_"
+    procedure_type: str = "procedimiento"
+    agency: str = ""
+    headings: tuple[str, ...] = ()
+
+    def entity(self, code: Column) -> Column:
+        return F.when(code.startswith("SERVICIO "), self.service).otherwise(self.procedure)
+
+
+PLAIN = Wording()
+
+
 def filled(event: Column, w) -> Column:
     """The last event up to this row: structs, so that an event may set a value to null."""
     return F.last(event, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -50,7 +71,7 @@ def parse_index(rows: DataFrame, *, sheet: str = "sheet", row: str = "row", code
     """Index rows with kind (section, category, entry, sub), section, category and entry code; headers and blank rows are gone."""
     t, key = strip_edges(title), match_key(title)
     own = catalogue_code(code)
-    base = rows.withColumn("_t", t).filter((F.coalesce(F.col("_t"), F.lit("")) != "") & ~match_key(F.coalesce(F.col(code), F.lit(""))).contains("NUMERO DEL PROCEDIMIENTO TUPA") & ~key.contains("NOMBRE DEL PROCEDIMIENTO ADMINISTRATIVO") & ~key.startswith("NOV 2018"))
+    base = rows.withColumn("_t", t).filter((F.coalesce(F.col("_t"), F.lit("")) != "") & ~match_key(F.coalesce(F.col(code), F.lit(""))).contains("NUMERO DEL PROCEDIMIENTO") & ~key.contains("NOMBRE DEL PROCEDIMIENTO ADMINISTRATIVO") & ~key.startswith("NOV 2018"))
     base = base.withColumn("_c", F.nullif(own, F.lit(""))).withColumn("_s", sub_procedure("_t"))
     w = Window.partitionBy(sheet).orderBy(row)
     # A dotted line belongs to the entry before it only if nothing but its own subs stands between: sections and foreign titles end it.
@@ -80,14 +101,14 @@ def entries(index_rows: DataFrame, *, sheet: str = "sheet", row: str = "row") ->
     return checked.join(subs, [sheet, "code"], "left").select(sheet, "code", "_e.title", "_e.raw_title", "_e.section", "_e.category", "_e.status", F.col(f"_e.{row}").alias("source_row"), F.coalesce("subprocedures", F.expr("array()")).alias("subprocedures"))
 
 
-def group_rows(rows: DataFrame, known: DataFrame, *, sheet: str = "sheet", table: str = "table_index", row: str = "row_index", cells: str = "cells") -> DataFrame:
+def group_rows(rows: DataFrame, known: DataFrame, *, sheet: str = "sheet", table: str = "table_index", row: str = "row_index", cells: str = "cells", wording: Wording = PLAIN) -> DataFrame:
     """Table rows with state (header, blank, owner, continuation, unknown, orphan) and the code of the procedure they belong to.
 
     ``known`` (sheet, code, title) is the index. A row with a known code opens a group, rows without a code continue it, headers and
     unknown codes end it; after a service header, 1 to 4 stand for services, and services are found by title too."""
     head = match_key(F.array_join(F.slice(cells, 1, 2), " "))
-    service = head.contains("SUNAT") & head.contains("SERVICIOS PRESTADOS EN EXCLUSIVIDAD")
-    catalogue = head.contains("SUNAT") & head.contains("TEXTO UNICO DE PROCEDIMIENTOS ADMINISTRATIVOS")
+    service = head.contains(wording.agency) & head.contains("SERVICIOS PRESTADOS EN EXCLUSIVIDAD")
+    catalogue = head.contains(wording.agency) & head.contains("TEXTO UNICO DE PROCEDIMIENTOS ADMINISTRATIVOS")
     w = Window.partitionBy(sheet).orderBy(table, row)
     base = rows.withColumn("_header", service | catalogue | column_header(cells, _HEADERS))
     base = base.withColumn("_mode", F.coalesce(filled(F.when(service, "service").when(catalogue, "procedure"), w), F.lit("procedure")))
@@ -118,7 +139,7 @@ def ordered_distinct(items: Column) -> Column:
     return F.array_join(F.transform(first, lambda x: x["t"]), "\n\n")
 
 
-def parents(grouped: DataFrame, index: DataFrame, *, sheet: str = "sheet", table: str = "table_index", row: str = "row_index", cells: str = "cells") -> DataFrame:
+def parents(grouped: DataFrame, index: DataFrame, *, sheet: str = "sheet", table: str = "table_index", row: str = "row_index", cells: str = "cells", wording: Wording = PLAIN) -> DataFrame:
     """One record per index entry that has rows: joined columns, flags, status, trace and a Markdown rendering."""
     owned = grouped.filter(F.col("code").isNotNull())
     pos = F.struct(F.col(table).alias("t"), F.col(row).alias("r"))
@@ -127,7 +148,7 @@ def parents(grouped: DataFrame, index: DataFrame, *, sheet: str = "sheet", table
     said = F.filter(F.array(*(F.when(has_mark(c), F.lit(t)) for c, t in MARKS.items())), lambda x: x.isNotNull())
     plain = F.array_distinct(F.filter(F.array(*(F.col(c) for c in MARKS)), lambda x: x != ""))
     name = F.col("denominacion_y_base_legal")
-    legal = r"(?is)FUNDAMENTOS?\s+LEGAL(?:ES)?\s*:?"
+    legal = r"(?is)FUNDAMENTOS?\s+LEGAL(?:ES|)\s*:?"
     law = r"(?mi)^(?:REGLAMENTO|ACUERDO|CONVENIO|DECISI[OÓ]N|LEY\b|RESOLUCI[OÓ]N|DECRETO)"
     record = index.join(joined, [sheet, "code"]).withColumn("calificacion", F.array_join(F.when(F.size(said) > 0, said).otherwise(plain), "; ")).withColumn("calification_flags", flags)
     rest = name
@@ -143,39 +164,42 @@ def parents(grouped: DataFrame, index: DataFrame, *, sheet: str = "sheet", table
     told = F.try_element_at(F.filter(F.split(everything, "\n"), lambda x: match_key(x).contains("ELIMINADO")), F.lit(1))
     record = record.withColumn("status", F.coalesce("status", F.when(match_key(everything).contains("ELIMINADO MEDIANTE"), told)))
     service = F.col("code").startswith("SERVICIO ")
-    heading = F.concat(F.lit("# "), F.when(service, "Servicio").otherwise("Procedimiento TUPA"), F.lit(" "), F.col("code"), F.lit(": "), F.col("title"))
+    heading = F.concat(F.lit("# "), wording.entity(F.col("code")), F.lit(" "), F.col("code"), F.lit(": "), F.col("title"))
     line = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{label}: "), F.col(c)))
     subs = F.when(F.size("subprocedures") > 0, F.concat(F.lit("Subprocedimientos del índice:\n"), F.array_join(F.transform("subprocedures", lambda x: F.concat(F.lit("- "), x["code"], F.lit(": "), x["title"])), "\n")))
     body = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"\n## {LABELS[c]}\n"), F.col(c))) for c in _ORDER]
     record = record.withColumn("page_content", F.concat_ws("\n", heading, line("Sección", "section"), line("Categoría", "category"), line("Estado en la fuente", "status"), subs, *body))
-    kind = F.when(service, "servicio_prestado_en_exclusividad").otherwise("procedimiento_tupa")
-    return record.select(sheet, F.concat(F.lit("tupa_"), slug("code")).alias("id"), "code", "title", kind.alias("document_type"), "section", "category", "status", "source_row", "subprocedures", "calification_flags", F.struct(*(F.col(c) for c in _ORDER)).alias("fields"), "title_detected", "row_count", "page_content")
+    kind = F.when(service, "servicio_prestado_en_exclusividad").otherwise(wording.procedure_type)
+    return record.select(sheet, F.concat(F.lit(wording.id_prefix), slug("code")).alias("id"), "code", "title", kind.alias("document_type"), "section", "category", "status", "source_row", "subprocedures", "calification_flags", F.struct(*(F.col(c) for c in _ORDER)).alias("fields"), "title_detected", "row_count", "page_content")
 
 
-_GROUPED = {
-    "resumen_administrativo": ("Costo, calificación y plazo", ("costo", "calificacion", "plazo")),
-    "canal_y_autoridad": ("Canal de inicio y autoridad competente", ("inicio_procedimiento", "autoridad_competente")),
-    "recursos": ("Recursos administrativos", ("reconsideracion", "reclamo", "apelacion")),
-    "informacion_adicional": ("Información adicional", ("denominacion_adicional",)),
-}
-_LONG = ("fundamento_legal", "requisitos", "formularios")
+#: Short fields that share a chunk: type, label, fields.
+_GROUPED = [
+    ("resumen_administrativo", "Costo, calificación y plazo", "costo calificacion plazo"),
+    ("canal_y_autoridad", "Canal de inicio y autoridad competente", "inicio_procedimiento autoridad_competente"),
+    ("recursos", "Recursos administrativos", "reconsideracion reclamo apelacion"),
+    ("informacion_adicional", "Información adicional", "denominacion_adicional"),
+]
+_LONG = _ORDER[:3]
 
 
-def chunk_parents(records: DataFrame, *, target: int = 450, most: int = 650) -> DataFrame:
+def chunk_parents(records: DataFrame, *, target: int = 450, most: int = 650, wording: Wording = PLAIN) -> DataFrame:
     """Chunks of parent records: long fields by paragraphs, short ones in groups, the whole record where nothing else is left."""
+    from functools import partial
+
     from .sections import packed_sections
 
     present = lambda c: F.coalesce(F.col(f"fields.{c}"), F.lit("")) != ""
     specs = [F.when(present(c), F.struct(F.lit(i).alias("ord"), F.lit(c).alias("content_type"), F.lit(LABELS[c]).alias("content_label"), F.col(f"fields.{c}").alias("body"))) for i, c in enumerate(_LONG)]
-    for i, (name, (label, fields)) in enumerate(_GROUPED.items(), start=len(_LONG)):
-        body = F.concat_ws("\n\n", *(F.when(present(c), F.concat(F.lit(f"{LABELS[c]}:\n"), F.col(f"fields.{c}"))) for c in fields))
+    for i, (name, label, fields) in enumerate(_GROUPED, start=len(_LONG)):
+        body = F.concat_ws("\n\n", *(F.when(present(c), F.concat(F.lit(f"{LABELS[c]}:\n"), F.col(f"fields.{c}"))) for c in fields.split()))
         specs.append(F.when(body != "", F.struct(F.lit(i).alias("ord"), F.lit(name).alias("content_type"), F.lit(label).alias("content_label"), body.alias("body"))))
     found = F.array_compact(F.array(*specs))
     whole = F.array(F.struct(F.lit(99).alias("ord"), F.lit("documento_completo").alias("content_type"), F.lit("Contenido completo").alias("content_label"), F.col("page_content").alias("body")))
     sections = records.withColumn("_s", F.explode(F.when(F.size(found) > 0, found).otherwise(whole))).select("*", "_s.*").drop("_s")
     line = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{label}: "), F.col(c)))
-    head = F.concat_ws("\n", F.lit("SUNAT - TUPA 2018"), F.concat(F.when(F.col("code").startswith("SERVICIO "), "Servicio").otherwise("Procedimiento TUPA"), F.lit(": "), F.col("code")), F.concat(F.lit("Nombre: "), F.col("title")), line("Sección", "section"), line("Categoría", "category"), line("Estado en la fuente", "status"))
-    pack = F.udf(packed_sections, "array<struct<code:string,title:string,text:string>>")
+    head = F.concat_ws("\n", F.lit(wording.banner), F.concat(wording.entity(F.col("code")), F.lit(": "), F.col("code")), F.concat(F.lit("Nombre: "), F.col("title")), line("Sección", "section"), line("Categoría", "category"), line("Estado en la fuente", "status"))
+    pack = F.udf(partial(packed_sections, more=wording.headings), "array<struct<code:string,title:string,text:string>>")
     subs = F.transform("subprocedures", lambda x: F.struct(x["code"].alias("code"), x["title"].alias("title")))
     rows = sections.withColumn("_head", head).withColumn("_subs", subs)
     rows = rows.select("*", F.posexplode(pack("body", "_subs", "_head", F.col("content_type").isin(*_LONG), F.lit(target), F.lit(most))).alias("_i", "_p"))

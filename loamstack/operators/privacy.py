@@ -13,14 +13,14 @@ from ..functions.text import SPACE, col, folded
 
 _SECRETS = [
     r"usuario\s*y\s*clave", r"user\s*y\s*pass", "token", "pin", "password", "passwd", "pass", "otp", r"mi\s*clave", r"credencial(?:es)?", "contrasenia", "contrasena",
-    r"codigo\s*sms", r"codigo\s*de\s*verificacion", r"clavesol", r"clave\s*sol", r"clave\s*de\s*acceso", r"clave\s*(?:de\s*)?(?:mi\s*)?(?:tarjeta|celular|cuenta|banco)",
+    r"codigo\s*sms", r"codigo\s*de\s*verificacion", r"clavesol", r"clave\s*sol", r"clave\s*de\s*acceso", r"clave(?:\s*de)?(?:\s*mi)?\s*(?:tarjeta|celular|cuenta|banco)",
 ]
 _MENTION = r"(?iU)\b(?:" + "|".join(_SECRETS) + r")\b"
 _TIGHT = "|".join(["passwd", "password", "contrasenia", "contrasena", "codigodeverificacion", "claveseacceso", "clavesol"])
-_LOGIN = r"(?iU)(?:" + "|".join(["cuenta", "nick", "login", "user", "usuario"]) + r")\s*(?:sol)?\s*(?:[:=]|es)\s*[\"'`]?([A-Za-z0-9._\-]{3,})"
+_LOGIN = r"(?iU)(?:" + "|".join(["cuenta", "nick", "login", "user", "usuario"]) + r")\s*(?:sol)?\s*(?:[:=]|es)\s*[`'\"]?([\-._0-9a-zA-Z]{3,})"
 _CARE = r"(?iU)\bmis?\s+(?:" + "|".join([r"datos\s*biometricos", r"huella\s*(?:dactilar|digital)", r"afiliacion\s*(?:sindical|politica)", r"orientacion\s*sexual", "religion", "discapacidad", "cancer", "sida", "vih", r"historia\s*clinica", "enfermedad", "diagnostico"]) + r")\b"
-_MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-_MOBILE = r"(?<![0-9+])(?:\+?51[\s\-]?)?9[0-9]{2}(?:[\s\-]?[0-9]{3}){2}(?![0-9])"
+_MAIL = r"[%+.\-_0-9a-zA-Z]+@[\-.0-9a-zA-Z]+\.[a-zA-Z]{2,}"
+_MOBILE = r"(?<![0-9+])(?:[+]?51[\-\s]?)?9[0-9]{2}(?:[\-\s]?[0-9]{3}){2}(?![0-9])"
 _CARD = r"(?<![0-9])(?:[0-9][ \-]?){13,19}(?![0-9])"
 _ACCOUNT, _IDENTITY = r"(?<![0-9])[0-9]{20}(?![0-9])", r"(?<![0-9])[0-9]{8}(?![0-9])"
 REASONS = ("clave_sol", "credencial", "usuario", "cuenta_bancaria", "tarjeta", "celular", "dni", "email", "dato_sensible")

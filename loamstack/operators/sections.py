@@ -11,11 +11,11 @@ import unicodedata
 from .chunking import pack_units, tokens
 
 _KNOWN = sorted(
-    {"NOTAS", "NOTA", "EN SUNAT VIRTUAL", "A TRAVES DE SUNAT VIRTUAL", "A TRAVES DEL CANAL TELEFONICO", "EN FORMA PRESENCIAL", "DE MANERA PRESENCIAL", "REQUISITOS"}
+    {"NOTAS", "NOTA", "A TRAVES DEL CANAL TELEFONICO", "EN FORMA PRESENCIAL", "DE MANERA PRESENCIAL", "REQUISITOS"}
     | {f"CONDICIONES PARA {x}" for x in ("SER HABILITADO", "PRESENTAR", "OBTENER")}
     | {f"{a}REQUISITOS {b}" for a in ("", "DOCUMENTACION ") for b in ("ESPECIFICOS", "GENERALES")}
 )
-_DOTTED = re.compile(r"^\s*0*([0-9]+(?:-[A-Z])?(?:\.[0-9]+)+)\s*(?:[.\-–—:]+\s*)?(.*)$", re.I | re.S)
+_DOTTED = re.compile(r"^\s*0*([0-9]+(?:-[A-Z]){0,1}(?:[.][0-9]+)+)\s*(?:[:—–.\-]+\s*){0,1}(.*)$", re.I | re.S)
 _SIGN = re.compile(r"N\.?°")
 
 
@@ -37,7 +37,7 @@ def key(text: str | None) -> str:
 def code(text: str) -> str:
     """A dotted code: the first part as a catalogue code, numbers without leading zeros."""
     parts = clean(text).upper().split(".")
-    m = re.fullmatch(r"0*([0-9]+)(?:\s*-\s*([A-Z]))?", _SIGN.sub("", parts[0]).strip(" .|"))
+    m = re.fullmatch(r"0*([0-9]+)(?:\s*[-]\s*([A-Z])){0,1}", _SIGN.sub("", parts[0]).strip(" .|"))
     head = (f"{int(m[1])}-{m[2]}" if m[2] else str(int(m[1]))) if m else parts[0]
     return ".".join([head, *(str(int(p)) if p.isdigit() else p for p in parts[1:])])
 
@@ -50,18 +50,18 @@ def official(line: str, subs: list[tuple[str, str]]) -> tuple[str, str] | None:
     return {code(c): (clean(c), clean(t)) for c, t in subs if clean(c)}.get(code(m[1]))
 
 
-def is_heading(line: str, subs: list[tuple[str, str]]) -> bool:
+def is_heading(line: str, subs: list[tuple[str, str]], more: tuple[str, ...] = ()) -> bool:
     k = key(line)
     if not k:
         return False
-    return official(line, subs) is not None or len(line.split()) <= 35 and any(k == h or k.startswith(h + " ") for h in _KNOWN)
+    return official(line, subs) is not None or len(line.split()) <= 35 and any(k == h or k.startswith(h + " ") for h in (*_KNOWN, *more))
 
 
-def sections(text: str, subs: list[tuple[str, str]]) -> list[tuple[str | None, str]]:
-    """(heading, body with its heading) in order."""
+def sections(text: str, subs: list[tuple[str, str]], more: tuple[str, ...] = ()) -> list[tuple[str | None, str]]:
+    """(heading, body with its heading) in order; ``more`` are headings besides the known ones, as match keys."""
     out: list[tuple[str | None, list[str]]] = [(None, [])]
     for line in map(clean, clean(text).splitlines()):
-        if line and is_heading(line, subs):
+        if line and is_heading(line, subs, more):
             out.append((line, []))
         else:
             out[-1][1].append(line)
@@ -79,11 +79,11 @@ def named_sub(text: str, subs: list[tuple[str, str]]) -> tuple[str | None, str |
     return next(((clean(c), clean(t)) for c, t in subs if clean(t) and key(t) in k), (None, None))
 
 
-def packed_sections(body: str, subs, head: str, semantic: bool, target: int, most: int) -> list[dict]:
+def packed_sections(body: str, subs, head: str, semantic: bool, target: int, most: int, more: tuple[str, ...] = ()) -> list[dict]:
     """Packs of a field: by section and paragraph if semantic, else as one unit; the header's tokens count against the limits."""
     pairs = [(s["code"] or "", s["title"] or "") for s in subs or ()]
     body, out = clean(body), []
-    for heading, text in (sections(body, pairs) or [(None, body)]) if semantic else [(None, body)]:
+    for heading, text in (sections(body, pairs, more) or [(None, body)]) if semantic else [(None, body)]:
         sub = named_sub(heading or text[:250], pairs) if semantic else (None, None)
         used = tokens(head or "") + (tokens(f"Subprocedimiento: {sub[0]} - {sub[1] or ''}") if sub[0] else 0) + 8
         limit = max(40, most - used - 4)

@@ -30,21 +30,21 @@ class Catalogue:
         return found.unionByName(verdict)
 
 
-def build(index_rows: DataFrame, table_rows: DataFrame, *, target: int = 450, most: int = 650) -> Catalogue:
+def build(index_rows: DataFrame, table_rows: DataFrame, *, target: int = 450, most: int = 650, wording: catalog.Wording = catalog.PLAIN) -> Catalogue:
     """Index rows (sheet, row, code, title) and table rows (sheet, table_index, row_index, cells) into entries, parents and chunks."""
     if not 0 < target < most:
         raise ValueError("0 < target < most must hold")
     entries = catalog.entries(catalog.parse_index(index_rows))
-    grouped = catalog.group_rows(table_rows, entries)
-    parents = catalog.parents(grouped, entries)
-    return Catalogue(entries, grouped, parents, catalog.chunk_parents(parents, target=target, most=most))
+    grouped = catalog.group_rows(table_rows, entries, wording=wording)
+    parents = catalog.parents(grouped, entries, wording=wording)
+    return Catalogue(entries, grouped, parents, catalog.chunk_parents(parents, target=target, most=most, wording=wording))
 
 
-def merged_content(chunks: DataFrame) -> DataFrame:
+def merged_content(chunks: DataFrame, wording: catalog.Wording = catalog.PLAIN) -> DataFrame:
     """Chunks that took in a heading get their header again, in the order of the second format, and a new token estimate."""
     line = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{label}: "), F.col(c)))
     optional = [line(label, c) for label, c in (("Sección", "section"), ("Categoría", "category"), ("Tipo de contenido", "content_label"), ("Subprocedimiento", "subprocedure_code"), ("Nombre del subprocedimiento", "subprocedure_title")) if c in chunks.columns]
-    head = F.concat_ws("\n", F.lit("SUNAT - TUPA 2018"), F.concat(F.lit("Procedimiento TUPA: "), F.coalesce("code", F.lit(""))), *([F.concat(F.lit("Nombre: "), F.coalesce("title", F.lit("")))] if "title" in chunks.columns else []), *optional)
+    head = F.concat_ws("\n", F.lit(wording.banner), F.concat(F.lit(f"{wording.procedure}: "), F.coalesce("code", F.lit(""))), *([F.concat(F.lit("Nombre: "), F.coalesce("title", F.lit("")))] if "title" in chunks.columns else []), *optional)
     changed = F.col("merged_heading_id").isNotNull()
     out = chunks.withColumn("page_content", F.when(changed, F.concat_ws("\n\n", head, F.trim("raw_text"))).otherwise(F.col("page_content")))
     return out.withColumn("approx_tokens", F.when(changed, token_estimate("page_content")).otherwise(F.col("approx_tokens")))
@@ -65,12 +65,12 @@ def check(parents: DataFrame, chunks: DataFrame) -> None:
             raise ValueError(f"{'no ' if what == 'parents of' else 'repeated '}{what}: {', '.join(map(str, found))}")
 
 
-def postprocess(parents: DataFrame, chunks: DataFrame) -> Processed:
+def postprocess(parents: DataFrame, chunks: DataFrame, wording: catalog.Wording = catalog.PLAIN) -> Processed:
     """Status of parents, headings merged into the chunks after them, sequences renewed, active and inactive rows apart."""
     check(parents, chunks)
     told = parents.withColumn("_s", status("status")).select("*", "_s.*").drop("_s")
     merged = chunking.merge_headings(chunks, heading_only("raw_text"), id_col="id", parent="parent_id", kind="content_type", order="seq", text="raw_text")
-    renewed = chunking.resequence(merged_content(merged))
+    renewed = chunking.resequence(merged_content(merged, wording))
     keys = {"child_key": "parent_id", "parent_key": "id"}
     return Processed(told.filter("is_active"), told.filter("NOT is_active"), audit.with_active_parents(renewed, told, F.col("is_active"), **keys), audit.without_active_parents(renewed, told, F.col("is_active"), **keys))
 

@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
 
     shared = tmp_path_factory.mktemp("shared")
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{shared}", "spark.log.level": "ERROR"}
-    session = SparkSession.builder.master("local[4]").appName("tests").config(map=conf).getOrCreate()
+    session = SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]").appName("tests").config(map=conf).getOrCreate()
     yield session
     session.stop()
 

@@ -176,7 +176,7 @@ def test_crawl_is_bounded_and_ends(rows):
 
 
 INDEX = [
-    ("f", 1, "NÚMERO DEL PROCEDIMIENTO TUPA", "NOMBRE DEL PROCEDIMIENTO ADMINISTRATIVO"), ("f", 2, None, "SECCIÓN I"), ("f", 3, None, "Registro"), ("f", 4, "01", "Alta de RUC\nELIMINADO MEDIANTE R.S. 1"), ("f", 5, None, "1.1 Personas"), ("f", 6, None, "9.1 Ajeno"),
+    ("f", 1, "NÚMERO DEL PROCEDIMIENTO", "NOMBRE DEL PROCEDIMIENTO ADMINISTRATIVO"), ("f", 2, None, "SECCIÓN I"), ("f", 3, None, "Registro"), ("f", 4, "01", "Alta de RUC\nELIMINADO MEDIANTE R.S. 1"), ("f", 5, None, "1.1 Personas"), ("f", 6, None, "9.1 Ajeno"),
     ("f", 7, "2.0", "Baja (Modificado mediante X)"), ("f", 8, None, ""), ("f", 9, None, "2.1.- Parcial"), ("f", 10, None, "SECCIÓN II"), ("f", 11, "Servicio 1", "Copia certificada"),
 ]
 
@@ -200,7 +200,7 @@ def test_groups_parents_and_chunks(rows):
     index = catalog.entries(catalog.parse_index(rows("sheet string, row int, code string, title string", INDEX)))
     table = [
         cells("", "huérfana"), cells("1", "Alta de RUC\nFUNDAMENTO LEGAL: Ley 1", "DNI", "X"), cells("", "", "DNI"), cells(), cells("", "", "Recibo"), cells("77", "desconocido"), cells("", "sin dueño"), cells("2", "Baja\nDecreto 5", "Carta"),
-        cells("SUNAT", "Servicios prestados en exclusividad"), cells("1", "Copia certificada", "Pago"), cells("Número de orden", "Autoridad competente"), cells("", "otra"),
+        cells("", "Servicios prestados en exclusividad"), cells("1", "Copia certificada", "Pago"), cells("Número de orden", "Autoridad competente"), cells("", "otra"),
     ]
     data = rows("sheet string, table_index int, row_index int, cells array<string>", [("f", 0, i, c) for i, c in enumerate(table)])
     grouped = catalog.group_rows(data, index)
@@ -209,7 +209,7 @@ def test_groups_parents_and_chunks(rows):
     records = {r.code: r for r in catalog.parents(grouped, index).collect()}
     one = records["1"]
     assert one.fields.requisitos == "DNI\n\nRecibo" and one.fields.fundamento_legal == "Ley 1" and one.fields.calificacion == "Automático" and one.calification_flags.calificacion_automatica
-    assert one.page_content.startswith("# Procedimiento TUPA 1: Alta de RUC\nSección: SECCIÓN I") and records["SERVICIO 1"].page_content.startswith("# Servicio SERVICIO 1")
+    assert one.page_content.startswith("# Procedimiento 1: Alta de RUC\nSección: SECCIÓN I") and records["SERVICIO 1"].page_content.startswith("# Servicio SERVICIO 1")
     chunks = catalog.chunk_parents(catalog.parents(grouped, index)).collect()
-    assert {c.id for c in chunks if c.code == "1"} >= {"tupa_1_requisitos_001", "tupa_1_fundamento_legal_001", "tupa_1_resumen_administrativo_001"}
+    assert {c.id for c in chunks if c.code == "1"} >= {"proc_1_requisitos_001", "proc_1_fundamento_legal_001", "proc_1_resumen_administrativo_001"}
     assert all(c.approx_tokens <= 650 and c.page_content.endswith(c.raw_text) for c in chunks)

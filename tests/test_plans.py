@@ -48,17 +48,17 @@ def test_catalogue_and_postprocess(rows, spark):
     table = [cells("1", "Alta de RUC\nFUNDAMENTO LEGAL: Ley 1", "1.1 Personas\nDNI vigente\n\n2.7 dice la ley\n\nREQUISITOS GENERALES\n\nCarta simple", "X"), cells("2", "Baja\nDecreto 5", "Carta"), cells("99", "?")]
     built = catalogue.build(rows("sheet string, row int, code string, title string", INDEX), rows("sheet string, table_index int, row_index int, cells array<string>", [("f", 0, i, c) for i, c in enumerate(table)]))
     chunks = {c.id: c for c in built.chunks.collect()}
-    one = chunks["tupa_1_requisitos_001"]
+    one = chunks["proc_1_requisitos_001"]
     assert one.subprocedure_code == "1.1" and one.subprocedure_title == "Personas" and "Subprocedimiento: 1.1 - Personas\nTipo de contenido: Requisitos" in one.page_content
-    assert chunks["tupa_1_requisitos_002"].raw_text == "REQUISITOS GENERALES\n\nCarta simple" or "REQUISITOS GENERALES" in chunks["tupa_1_requisitos_002"].raw_text
+    assert chunks["proc_1_requisitos_002"].raw_text == "REQUISITOS GENERALES\n\nCarta simple" or "REQUISITOS GENERALES" in chunks["proc_1_requisitos_002"].raw_text
     report = {r.measure: r.value for r in built.report().collect()}
     assert report["codes_missing"] == "1" and report["rows_unknown"] == "1" and report["result"] == "review"
     done = catalogue.postprocess(built.parents, built.chunks)
-    assert [r.code for r in done.inactive.collect()] == ["1"] and {r.parent_id for r in done.active_chunks.collect()} == {"tupa_2"} and {r.parent_id for r in done.inactive_chunks.collect()} == {"tupa_1"}
-    assert catalogue.preview(built.parents, 1).startswith("# Procedimiento TUPA 1")
+    assert [r.code for r in done.inactive.collect()] == ["1"] and {r.parent_id for r in done.active_chunks.collect()} == {"proc_2"} and {r.parent_id for r in done.inactive_chunks.collect()} == {"proc_1"}
+    assert catalogue.preview(built.parents, 1).startswith("# Procedimiento 1")
     with pytest.raises(ValueError, match="no parents of"):
         catalogue.postprocess(built.parents.filter("code <> '1'"), built.chunks)
-    heads = built.chunks.filter("parent_id = 'tupa_2'").withColumn("raw_text", F.when(F.col("seq") == F.lit(1), "Requisitos generales:").otherwise(F.col("raw_text")))
+    heads = built.chunks.filter("parent_id = 'proc_2'").withColumn("raw_text", F.when(F.col("seq") == F.lit(1), "Requisitos generales:").otherwise(F.col("raw_text")))
     assert catalogue.postprocess(built.parents, heads).active_chunks.count() <= heads.count()
 
 

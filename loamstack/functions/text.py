@@ -46,7 +46,8 @@ def squeeze(c: Column | str) -> Column:
 
 def strip_accents(c: Column | str) -> Column:
     source, target = accent_map()
-    return F.regexp_replace(F.translate(col(c), source, target), r"\p{Mn}", "")
+    t = col(c)
+    return F.when(t.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(t, source, target), r"\p{Mn}", "")).otherwise(t)
 
 
 def match_key(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ words, with all spacing taken out. Numbers are looked for in the text as it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, col, folded
@@ -37,31 +37,55 @@ def card_numbers(c: Column | str) -> Column:
     return F.filter(runs, lambda x: F.length(x).between(13, 19) & F.call_function("luhn_check", x))
 
 
-def reasons(c: Column | str) -> Column:
-    """array<string>: the reasons that hold, in order; empty for null and blank text."""
-    t = F.coalesce(col(c), F.lit(""))
-    plain = unmasked(t)
-    tight = F.regexp_replace(plain, r"(?U)[\s._\-]", "")
-    joined = F.regexp_replace(t, r"[ \-]", "")
+def _views(t: Column) -> dict[str, Column]:
+    """The three readings of a text that the rules look at."""
+    return {"_plain": unmasked(t), "_joined": F.regexp_replace(t, r"[ \-]", "")}
+
+
+def _reasons(t: Column, plain: Column, joined: Column, tight: Column) -> Column:
     key = plain.rlike(r"(?U)clave\s*sol") | tight.contains("clavesol")
+    account = joined.rlike(_ACCOUNT)
     holds = {
         "clave_sol": key,
         "credencial": ~key & (plain.rlike(_MENTION) | tight.rlike(_TIGHT)),
         "usuario": plain.rlike(_LOGIN),
-        "cuenta_bancaria": joined.rlike(_ACCOUNT),
+        "cuenta_bancaria": account,
         "tarjeta": F.size(card_numbers(t)) > 0,
         "celular": t.rlike(_MOBILE),
-        "dni": ~joined.rlike(_ACCOUNT) & joined.rlike(_IDENTITY),
+        "dni": ~account & joined.rlike(_IDENTITY),
         "email": t.rlike(_MAIL),
         "dato_sensible": plain.rlike(_CARE),
     }
     return F.array_compact(F.array(*(F.when(holds[r], F.lit(r)) for r in REASONS)))
 
 
+def _tight(plain: Column) -> Column:
+    return F.regexp_replace(plain, r"(?U)[\s._\-]", "")
+
+
+def reasons(c: Column | str) -> Column:
+    """array<string>: the reasons that hold, in order; empty for null and blank text."""
+    t = F.coalesce(col(c), F.lit(""))
+    v = _views(t)
+    return _reasons(t, v["_plain"], v["_joined"], _tight(v["_plain"]))
+
+
+def verdict_of(found: Column) -> Column:
+    """struct(blocked, reasons, safe_label) of reasons: the label is fit for logs, it holds nothing of the text."""
+    some = F.size(found) > 0
+    return F.struct(some.alias("blocked"), found.alias("reasons"), F.when(some, F.concat(F.lit("BLOQUEADO["), F.array_join(found, ","), F.lit("]"))).otherwise("OK").alias("safe_label"))
+
+
 def verdict(c: Column | str) -> Column:
-    """struct(blocked, reasons, safe_label): the label is fit for logs, it holds nothing of the text."""
-    found = reasons(c)
-    return F.struct((F.size(found) > 0).alias("blocked"), found.alias("reasons"), F.when(F.size(found) > 0, F.concat(F.lit("BLOQUEADO["), F.array_join(found, ","), F.lit("]"))).otherwise("OK").alias("safe_label"))
+    return verdict_of(reasons(c))
+
+
+def inspected(rows: DataFrame, *, text: str = "text", name: str = "verdict") -> DataFrame:
+    """``rows`` with the verdict. The readings of a text are columns of their own, so each is made once per row."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    base = rows.withColumns(_views(t)).withColumn("_tight", _tight(F.col("_plain")))
+    found = base.withColumn("_found", _reasons(t, F.col("_plain"), F.col("_joined"), F.col("_tight")))
+    return found.withColumn(name, verdict_of(F.col("_found"))).drop("_plain", "_joined", "_tight", "_found")
 
 
 def is_safe(c: Column | str) -> Column:

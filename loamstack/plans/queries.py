@@ -261,14 +261,14 @@ def chunk_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT doc_id, regexp_matches(text, '[%+.\-_0-9a-zA-Z]+@[\-.0-9a-zA-Z]+\.[a-zA-Z]{2,}') AS email, regexp_matches(regexp_replace(text, '[ \-]', '', 'g'), '(^|[^0-9])[0-9]{20}($|[^0-9])') AS account,
 NOT regexp_matches(regexp_replace(text, '[ \-]', '', 'g'), '(^|[^0-9])[0-9]{20}($|[^0-9])') AND regexp_matches(regexp_replace(text, '[ \-]', '', 'g'), '(^|[^0-9])[0-9]{8}($|[^0-9])') AS identity FROM documents""")
 def privacy_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", privacy.reasons("text").alias("r"))
+    found = privacy.inspected(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("verdict.reasons").alias("r"))
     return found.select("doc_id", F.array_contains("r", "email").alias("email"), F.array_contains("r", "cuenta_bancaria").alias("account"), F.array_contains("r", "dni").alias("identity"))
 
 
 @query()
 def privacy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
-    return both.select("kind", "id", privacy.verdict("text").alias("v")).select("kind", "id", "v.blocked", F.array_join("v.reasons", ",").alias("reasons"), "v.safe_label")
+    return privacy.inspected(both).select("kind", "id", "verdict.blocked", F.array_join("verdict.reasons", ",").alias("reasons"), "verdict.safe_label")
 
 
 @query("""WITH s AS (SELECT conv_id, turn, role, text FROM conversations), h AS (SELECT conv_id, turn, list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS r FROM s)

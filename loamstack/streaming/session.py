@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tax_id_valid
-from ..operators.privacy import reasons
+from ..operators.privacy import inspected
 
 STORED, PROMPTED = 8, 4
 _OUT = "conv_id long, turn long, action string, prompt_messages int, stored_messages int, tax_id string"
@@ -23,9 +23,9 @@ _STATE = "awaiting boolean, tax_id string, roles array<string>, texts array<stri
 
 def gated(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, blocked, digits_valid): the text of a blocked message goes no further."""
-    blocked = F.size(reasons("text")) > 0
     digits = F.regexp_replace(F.coalesce("text", F.lit("")), "[^0-9]", "")
-    return messages.select("conv_id", "turn", "role", F.when(~blocked, F.col("text")).alias("text"), blocked.alias("blocked"), F.when(tax_id_valid(digits), digits).alias("tax_id"))
+    blocked = F.col("verdict.blocked")
+    return inspected(messages.select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "role", F.when(~blocked, F.col("text")).alias("text"), blocked.alias("blocked"), F.when(tax_id_valid(digits), digits).alias("tax_id"))
 
 
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:

@@ -59,7 +59,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 
 
 def op10(shards: int = 40) -> str:
-    """Whole for tables of one part per slot (up to a thousand million rows)."""
+    """Whole for tables of one part per slot (up to 200,000 rows a slot)."""
     now = first_map(shards)
     after = grown(now, shards)
     return f"""

@@ -7,8 +7,8 @@ by) and ``rebalanced`` edits a map by them. Everything over rows is DataFrame an
 numbers, made on the driver.
 
 Places within a shard are gapless and need no sort of a whole shard: rows are counted per (slot, part), the counts are summed up
-along the shard, and rows are numbered within their part only. Parts split a slot by more hash bits, so that a part holds about
-``part_rows`` rows at any size of table.
+along the shard, and rows are numbered within their part only. A slot has as many parts as its own count asks for, so that a part
+holds about ``part_rows`` rows at any size of table, whatever its ids.
 
 Defined results. A null id hashes like the empty text; null text has no bytes. Repeated rows go to one shard, each with a place of
 its own. An id that a third of all rows share stays in one shard (the law says so), but its rows are spread over parts by their
@@ -99,11 +99,11 @@ def assign(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text: s
     versions = stored_map(spark, shards, slots)
     both = versions.filter(F.col("version") == shards).select("vslot", "shard").join(versions.filter(F.col("version") == shards + 1).select("vslot", F.col("shard").alias("grown_shard")), "vslot")
     rows = docs.select(F.col(id_col), slot_of(id_col, slots).alias("vslot"), size_of(text).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"))
-    held = docs.count()
-    parts = max(1, -(-held // (slots * part_rows)))
     # drawn before the table is written, hence the same for every later reader
-    rows = written(rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))), "slotted")
-    # one row per slot and part: the map is a few thousand rows, so it may be broadcast; counts join by the key they are grouped on
+    rows = written(rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "slotted")
+    # a slot's own count decides its parts, lest one id fill a part; slots and the map are a few thousand rows, so they may be broadcast
+    split = rows.groupBy("vslot").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
+    rows = rows.join(F.broadcast(split), "vslot").withColumn("part", F.pmod("salt", "parts"))
     counted = rows.groupBy("vslot", "part").agg(F.count("*").alias("n")).join(F.broadcast(both), "vslot")
     along = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("vslot", "part", "shard", "grown_shard", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))

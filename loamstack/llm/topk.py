@@ -95,6 +95,18 @@ class Pivots:
         return cell, np.sqrt(np.maximum(square[np.arange(len(points)), cell], 0))
 
 
+def query_blocks(counts: dict[int, int], most: int) -> tuple[dict[int, int], dict[int, int]]:
+    """For each cell its first query block and its number of blocks, for about ``most`` queries a block."""
+    first, parts, block, held = {}, {}, -1, most
+    for cell, n in sorted(counts.items()):
+        parts[cell] = max(1, -(-n // most))
+        if held + n > most:
+            block, held = block + 1, 0
+        first[cell] = block
+        block, held = block + parts[cell] - 1, held + n if parts[cell] == 1 else most
+    return first, parts
+
+
 def top_k(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vector: str = "embedding", scale: int = 64, sample_rows: int = 4096, block_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each row whose id is divisible by ``every``."""
     spark = table.sparkSession
@@ -124,10 +136,10 @@ def top_k(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_
     blocks = cells.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), splits).cast("int")).select("id", "vec", "cell", "part")
     # of rows that repeat a query's id the least vector asks, so that every run asks alike
     asked = cells.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("vec", "cell")).alias("v")).select("id", "v.*")
-    n_queries = asked.count()
-    groups = max(1, -(-n_queries // query_rows))
-    # queries of one cell lie together: blocks are cut along (cell, id)
-    order = asked.select("id", "vec", "cell", F.pmod(F.xxhash64("cell", F.lit(9)) + F.pmod(F.xxhash64("id"), F.lit(max(1, groups // max(1, len(summary))))), F.lit(groups)).cast("int").alias("q"))
+    # queries of one cell lie together: small cells share a block, a cell with more queries than a block holds has several
+    first, parts = query_blocks({r.cell: r.n for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}, query_rows)  # a row per pivot
+    of_cell = lambda x: F.element_at(F.create_map(*[F.lit(v) for c in first for v in (c, x[c])]), F.col("cell")) if first else F.lit(1)
+    order = asked.select("id", "vec", "cell", (of_cell(first) + F.pmod(F.xxhash64("id"), of_cell(parts))).cast("int").alias("q"))
     far = {r.cell: (r.far, r.norm) for r in summary}
 
     def bounds(batches):

@@ -140,6 +140,17 @@ def test_topk_equals_brute_force(spark, block):
     assert sorted(map(tuple, got)) == brute_top(data)
 
 
+def test_query_blocks_are_bounded():
+    counts = {c: n for c, n in enumerate([3, 3, 3, 50, 1, 9, 10, 11])}
+    first, parts = topk.query_blocks(counts, 10)
+    load = Counter()
+    for c, n in counts.items():
+        for b in range(first[c], first[c] + parts[c]):
+            load[b] += -(-n // parts[c])
+    assert parts == {0: 1, 1: 1, 2: 1, 3: 5, 4: 1, 5: 1, 6: 1, 7: 2} and max(load.values()) <= 10
+    assert first[0] == first[2] == 0 and first[3] == 1 and first[4] == 6 and sorted(load) == list(range(max(load) + 1))
+
+
 def test_topk_few_and_none(spark):
     few = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [0.0, 0.5])]
     kind = "vec_id long, embedding array<double>"

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..fixed import HEADING_ONLY, INACTIVE_MARKERS
 from .text import col, match_key, squeeze, strip_edges
 
-#: Headings that carry no text of their own, after white space is squeezed.
-_BARE = r"(?i)^(?:documentaci[oóOÓ]n ?- ?)?requisitos (?:generales|espec[iíIÍ]ficos) ?:?$"
+_BARE = "(?iu)(?:" + "|".join(HEADING_ONLY) + ")"
 
 
 def status(c: Column | str) -> Column:
     """struct(is_active, status_type, status_detail) of a status text: removal is told first, texts of no known kind stay active."""
     detail = F.nullif(strip_edges(c), F.lit(""))
     loud = F.upper(detail)
-    removed, replaced = loud.contains("ELIMINADO"), loud.contains("MODIFICADO A SERVICIO PRESTADO EN EXCLUSIVIDAD")
+    removed, replaced = (loud.contains(x) for x in INACTIVE_MARKERS)
     kind = F.when(detail.isNull(), "vigente_en_documento").when(removed, "eliminado").when(replaced, "reemplazado_por_servicio").otherwise("estado_no_clasificado")
     return F.struct(kind.isin("vigente_en_documento", "estado_no_clasificado").alias("is_active"), kind.alias("status_type"), detail.alias("status_detail"))
 

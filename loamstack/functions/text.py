@@ -12,11 +12,10 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..fixed import PLAIN_CODE, SERVICE_CODE, SUB_LINE, TAX_ID, TAX_ID_WEIGHTS, TOKEN
+
 SPACE = r"(?U)\s+"
 EDGES = r"(?U)^\s+|\s+$"
-TOKEN = r"(?U)\w+|[^\w\s]"
-#: Weights of the modulo-11 check digit, from the left.
-WEIGHTS = "5432765432"
 
 
 @cache
@@ -66,7 +65,7 @@ def word_count(c: Column | str) -> Column:
 
 def token_count(c: Column | str) -> Column:
     """Words, and each other visible sign, count one."""
-    return F.coalesce(F.regexp_count(col(c), F.lit(TOKEN)), F.lit(0))
+    return F.coalesce(F.regexp_count(col(c), F.lit("(?U)" + TOKEN)), F.lit(0))
 
 
 def token_estimate(c: Column | str) -> Column:
@@ -111,11 +110,10 @@ def catalogue_code(c: Column | str) -> Column:
     t = F.regexp_replace(t, r"^[ .|]+|[ .|]+$", "")
     t = F.regexp_replace(F.regexp_replace(t, r"N\.?°", ""), SPACE, " ")
     t = F.regexp_replace(t, r"^([0-9]+)\.0+$", "$1")
-    code, service = r"^([0-9]+)(?:\s*[-]\s*([A-Z])){0,1}$", r"^SERVICIO\s*([0-9]+)$"
-    letter = F.regexp_extract(t, code, 2)
+    letter = F.regexp_extract(t, PLAIN_CODE, 2)
     return (
-        F.when(t.rlike(code), F.concat(_plain_number(F.regexp_extract(t, code, 1)), F.when(letter != "", F.concat(F.lit("-"), letter)).otherwise("")))
-        .when(t.rlike(service), F.concat(F.lit("SERVICIO "), _plain_number(F.regexp_extract(t, service, 1))))
+        F.when(t.rlike(PLAIN_CODE), F.concat(F.regexp_extract(t, PLAIN_CODE, 1), F.when(letter != "", F.concat(F.lit("-"), letter)).otherwise("")))
+        .when(t.rlike(SERVICE_CODE), F.concat(F.lit("SERVICIO "), F.regexp_extract(t, SERVICE_CODE, 1)))
         .otherwise(t)
     )
 
@@ -127,23 +125,22 @@ def sub_code(c: Column | str) -> Column:
     return F.array_join(F.concat(F.array(catalogue_code(F.element_at(parts, 1))), rest), ".")
 
 
-#: A sub-procedure line: a dotted code, then its title.
-SUB_LINE = r"(?is)^\s*0*([0-9]+(?:-[A-Z]){0,1}(?:[.][0-9]+)+)\s*(?:[:—–.\-]+\s*){0,1}(.*)$"
+_SUB = "(?is)" + SUB_LINE
 
 
 def sub_procedure(c: Column | str) -> Column:
     """struct(code, title) of a line that begins with a dotted code; null for any other line."""
     t = strip_edges(c)
-    return F.when(t.rlike(SUB_LINE), F.struct(sub_code(F.regexp_extract(t, SUB_LINE, 1)).alias("code"), strip_edges(F.regexp_extract(t, SUB_LINE, 2)).alias("title")))
+    return F.when(t.rlike(_SUB), F.struct(sub_code(F.regexp_extract(t, _SUB, 1)).alias("code"), strip_edges(F.regexp_extract(t, _SUB, 2)).alias("title")))
 
 
 def tax_id_valid(c: Column | str) -> Column:
     """Eleven digits, a known kind in front, and a modulo-11 check digit; null gives false."""
     t = strip_edges(c)
     digits = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.try_element_at(F.split(t, ""), i).try_cast("int"))
-    weights = F.array(*(F.lit(int(w)) for w in WEIGHTS))
+    weights = F.array(*(F.lit(w) for w in TAX_ID_WEIGHTS))
     total = F.aggregate(F.zip_with(digits, weights, lambda d, w: d * w), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
     rest = F.lit(11) - total % 11
     check = F.when(rest == 10, 0).when(rest == 11, 1).otherwise(rest)
-    shaped = t.rlike(r"^(10|15|16|17|20)[0-9]{9}$")
+    shaped = t.rlike(TAX_ID)
     return F.coalesce(shaped & (F.substring(t, 11, 1).try_cast("int") == check), F.lit(False))

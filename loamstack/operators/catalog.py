@@ -12,19 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..fixed import CATALOGUE_COLUMNS, COLUMN_HEADERS, FIELD_LABELS, GROUPED_FIELDS, INLINE_NOTE, LAW_LINE, LEGAL_MARKER, LONG_FIELDS, MARK_LABELS, STATUS_NOTES
 from ..functions.flags import column_header, has_mark
 from ..functions.text import catalogue_code, fingerprint, match_key, slug, squeeze, strip_edges, sub_procedure, token_count
 
-COLUMNS = tuple("codigo denominacion_y_base_legal requisitos formularios costo calificacion_automatica evaluacion_previa_positiva evaluacion_previa_negativa plazo inicio_procedimiento autoridad_competente reconsideracion reclamo apelacion".split())
-MARKS = {"calificacion_automatica": "Automático", "evaluacion_previa_positiva": "Evaluación previa con silencio positivo", "evaluacion_previa_negativa": "Evaluación previa con silencio negativo"}
-LABELS = {
-    "apelacion": "Apelación", "autoridad_competente": "Autoridad competente", "calificacion": "Calificación", "costo": "Derecho de tramitación / costo", "denominacion_adicional": "Información adicional de la denominación",
-    "formularios": "Formularios, códigos y ubicaciones", "fundamento_legal": "Fundamento legal", "inicio_procedimiento": "Inicio del procedimiento / canal", "plazo": "Plazo para resolver", "reclamo": "Reclamo", "reconsideracion": "Reconsideración", "requisitos": "Requisitos",
-}
-_ORDER = tuple("fundamento_legal requisitos formularios costo calificacion plazo inicio_procedimiento autoridad_competente reconsideracion reclamo apelacion denominacion_adicional".split())
-_HEADERS = ("AUTORIDAD COMPETENTE", "DENOMINACION DEL PROCEDIMIENTO", "DERECHO DE TRAMITACION", "NUMERO DE ORDEN")
-_NOTES = ("INCORPORADO MEDIANTE", "MODIFICADO A SERVICIO", "MODIFICADO MEDIANTE", "ELIMINADO MEDIANTE")
-_NOTE = r"(?is)\s*\((?:INCORPORADO|MODIFICADO|ELIMINADO)\s+MEDIANTE.+$"
+COLUMNS, LABELS, MARKS = CATALOGUE_COLUMNS, FIELD_LABELS, MARK_LABELS
+_ORDER = tuple(LABELS)
+_NOTE, _LEGAL, _LAW = "(?is)" + INLINE_NOTE, "(?iu)" + LEGAL_MARKER, "(?miu)" + LAW_LINE
 
 
 @dataclass(frozen=True)
@@ -55,7 +49,7 @@ def title_and_status(c: Column | str) -> Column:
     """struct(title, status): notes of change are split off, by line or from closing brackets."""
     t = strip_edges(c)
     lines = F.split(t, "\n")
-    noted = F.transform(lines, lambda x: sum((match_key(x).contains(k).cast("int") for k in _NOTES), F.lit(0)) > 0)
+    noted = F.transform(lines, lambda x: sum((match_key(x).contains(k).cast("int") for k in STATUS_NOTES), F.lit(0)) > 0)
     at = F.array_position(noted, True)
     before = F.regexp_replace(F.array_join(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int")), " "), r"^[() ]+|[() ]+$", "")
     after = F.array_join(F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), F.size(lines)), " ")
@@ -110,7 +104,7 @@ def group_rows(rows: DataFrame, known: DataFrame, *, sheet: str = "sheet", table
     service = head.contains(wording.agency) & head.contains("SERVICIOS PRESTADOS EN EXCLUSIVIDAD")
     catalogue = head.contains(wording.agency) & head.contains("TEXTO UNICO DE PROCEDIMIENTOS ADMINISTRATIVOS")
     w = Window.partitionBy(sheet).orderBy(table, row)
-    base = rows.withColumn("_header", service | catalogue | column_header(cells, _HEADERS))
+    base = rows.withColumn("_header", service | catalogue | column_header(cells, COLUMN_HEADERS))
     base = base.withColumn("_mode", F.coalesce(filled(F.when(service, "service").when(catalogue, "procedure"), w), F.lit("procedure")))
     base = base.withColumn("_blank", ~F.col("_header") & ~F.exists(cells, lambda x: F.coalesce(x, F.lit("")) != ""))
     raw = catalogue_code(F.try_element_at(cells, F.lit(1)))
@@ -148,18 +142,16 @@ def parents(grouped: DataFrame, index: DataFrame, *, sheet: str = "sheet", table
     said = F.filter(F.array(*(F.when(has_mark(c), F.lit(t)) for c, t in MARKS.items())), lambda x: x.isNotNull())
     plain = F.array_distinct(F.filter(F.array(*(F.col(c) for c in MARKS)), lambda x: x != ""))
     name = F.col("denominacion_y_base_legal")
-    legal = r"(?is)FUNDAMENTOS?\s+LEGAL(?:ES|)\s*:?"
-    law = r"(?mi)^(?:REGLAMENTO|ACUERDO|CONVENIO|DECISI[OÓ]N|LEY\b|RESOLUCI[OÓ]N|DECRETO)"
     record = index.join(joined, [sheet, "code"]).withColumn("calificacion", F.array_join(F.when(F.size(said) > 0, said).otherwise(plain), "; ")).withColumn("calification_flags", flags)
     rest = name
     begins = F.lower(squeeze(name)).startswith(F.lower(squeeze("title")))
     record = record.withColumn("_rest", F.when(begins, strip_edges(F.substring(squeeze(name), F.length(squeeze("title")) + 1, 1 << 30))).otherwise(rest))
-    marker = F.col("_rest").rlike(legal)
-    by_marker = F.split(F.col("_rest"), legal, 2)
-    by_law = F.split(F.col("_rest"), f"(?={law})", 2)
+    marker = F.col("_rest").rlike(_LEGAL)
+    by_marker = F.split(F.col("_rest"), _LEGAL, 2)
+    by_law = F.split(F.col("_rest"), f"(?={_LAW})", 2)
     record = record.withColumn("title_detected", F.when(begins, F.substring(squeeze(name), 1, F.length(squeeze("title")))).otherwise(F.lit("")))
-    record = record.withColumn("fundamento_legal", F.when(marker, strip_edges(F.try_element_at(by_marker, F.lit(2)))).when(F.col("_rest").rlike(law), F.substring(F.col("_rest"), F.length(F.try_element_at(by_law, F.lit(1))) + 1, 1 << 30)).otherwise(F.lit("")))
-    record = record.withColumn("denominacion_adicional", F.when(marker, strip_edges(F.try_element_at(by_marker, F.lit(1)))).when(F.col("_rest").rlike(law), strip_edges(F.try_element_at(by_law, F.lit(1)))).otherwise(F.col("_rest")))
+    record = record.withColumn("fundamento_legal", F.when(marker, strip_edges(F.try_element_at(by_marker, F.lit(2)))).when(F.col("_rest").rlike(_LAW), F.substring(F.col("_rest"), F.length(F.try_element_at(by_law, F.lit(1))) + 1, 1 << 30)).otherwise(F.lit("")))
+    record = record.withColumn("denominacion_adicional", F.when(marker, strip_edges(F.try_element_at(by_marker, F.lit(1)))).when(F.col("_rest").rlike(_LAW), strip_edges(F.try_element_at(by_law, F.lit(1)))).otherwise(F.col("_rest")))
     everything = F.concat_ws("\n", *(F.col(c) for c in COLUMNS[1:]))
     told = F.try_element_at(F.filter(F.split(everything, "\n"), lambda x: match_key(x).contains("ELIMINADO")), F.lit(1))
     record = record.withColumn("status", F.coalesce("status", F.when(match_key(everything).contains("ELIMINADO MEDIANTE"), told)))
@@ -173,16 +165,6 @@ def parents(grouped: DataFrame, index: DataFrame, *, sheet: str = "sheet", table
     return record.select(sheet, F.concat(F.lit(wording.id_prefix), slug("code")).alias("id"), "code", "title", kind.alias("document_type"), "section", "category", "status", "source_row", "subprocedures", "calification_flags", F.struct(*(F.col(c) for c in _ORDER)).alias("fields"), "title_detected", "row_count", "page_content")
 
 
-#: Short fields that share a chunk: type, label, fields.
-_GROUPED = [
-    ("resumen_administrativo", "Costo, calificación y plazo", "costo calificacion plazo"),
-    ("canal_y_autoridad", "Canal de inicio y autoridad competente", "inicio_procedimiento autoridad_competente"),
-    ("recursos", "Recursos administrativos", "reconsideracion reclamo apelacion"),
-    ("informacion_adicional", "Información adicional", "denominacion_adicional"),
-]
-_LONG = _ORDER[:3]
-
-
 def chunk_parents(records: DataFrame, *, target: int = 450, most: int = 650, wording: Wording = PLAIN) -> DataFrame:
     """Chunks of parent records: long fields by paragraphs, short ones in groups, the whole record where nothing else is left."""
     from functools import partial
@@ -190,9 +172,9 @@ def chunk_parents(records: DataFrame, *, target: int = 450, most: int = 650, wor
     from .sections import packed_sections
 
     present = lambda c: F.coalesce(F.col(f"fields.{c}"), F.lit("")) != ""
-    specs = [F.when(present(c), F.struct(F.lit(i).alias("ord"), F.lit(c).alias("content_type"), F.lit(LABELS[c]).alias("content_label"), F.col(f"fields.{c}").alias("body"))) for i, c in enumerate(_LONG)]
-    for i, (name, label, fields) in enumerate(_GROUPED, start=len(_LONG)):
-        body = F.concat_ws("\n\n", *(F.when(present(c), F.concat(F.lit(f"{LABELS[c]}:\n"), F.col(f"fields.{c}"))) for c in fields.split()))
+    specs = [F.when(present(c), F.struct(F.lit(i).alias("ord"), F.lit(c).alias("content_type"), F.lit(LABELS[c]).alias("content_label"), F.col(f"fields.{c}").alias("body"))) for i, c in enumerate(LONG_FIELDS)]
+    for i, (name, label, fields) in enumerate(GROUPED_FIELDS, start=len(LONG_FIELDS)):
+        body = F.concat_ws("\n\n", *(F.when(present(c), F.concat(F.lit(f"{LABELS[c]}:\n"), F.col(f"fields.{c}"))) for c in fields))
         specs.append(F.when(body != "", F.struct(F.lit(i).alias("ord"), F.lit(name).alias("content_type"), F.lit(label).alias("content_label"), body.alias("body"))))
     found = F.array_compact(F.array(*specs))
     whole = F.array(F.struct(F.lit(99).alias("ord"), F.lit("documento_completo").alias("content_type"), F.lit("Contenido completo").alias("content_label"), F.col("page_content").alias("body")))
@@ -202,7 +184,7 @@ def chunk_parents(records: DataFrame, *, target: int = 450, most: int = 650, wor
     pack = F.udf(partial(packed_sections, more=wording.headings), "array<struct<code:string,title:string,text:string>>")
     subs = F.transform("subprocedures", lambda x: F.struct(x["code"].alias("code"), x["title"].alias("title")))
     rows = sections.withColumn("_head", head).withColumn("_subs", subs)
-    rows = rows.select("*", F.posexplode(pack("body", "_subs", "_head", F.col("content_type").isin(*_LONG), F.lit(target), F.lit(most))).alias("_i", "_p"))
+    rows = rows.select("*", F.posexplode(pack("body", "_subs", "_head", F.col("content_type").isin(*LONG_FIELDS), F.lit(target), F.lit(most))).alias("_i", "_p"))
     rows = rows.withColumn("chunk_sequence", (F.col("_i") + 1).cast("int")).withColumn("raw_text", F.col("_p.text")).withColumn("subprocedure_code", F.col("_p.code")).withColumn("subprocedure_title", F.col("_p.title"))
     told = F.when(F.col("subprocedure_code").isNotNull(), F.concat(F.lit("Subprocedimiento: "), F.col("subprocedure_code"), F.when(F.coalesce("subprocedure_title", F.lit("")) != "", F.concat(F.lit(" - "), F.col("subprocedure_title"))).otherwise("")))
     rows = rows.withColumn("_head", F.concat_ws("\n", F.col("_head"), told, line("Tipo de contenido", "content_label")))

@@ -9,31 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import ACCOUNT_NUMBER, CARD_NUMBER, CREDENTIAL_TIGHT, CREDENTIAL_WORDS, DISGUISES, EMAIL, IDENTITY_NUMBER, MOBILE_NUMBER, SENSITIVE, SOL_KEY, USER_WITH_VALUE
 from ..functions.text import SPACE, col, folded
 
-_SECRETS = [
-    r"usuario\s*y\s*clave", r"user\s*y\s*pass", "token", "pin", "password", "passwd", "pass", "otp", r"mi\s*clave", r"credencial(?:es)?", "contrasenia", "contrasena",
-    r"codigo\s*sms", r"codigo\s*de\s*verificacion", r"clavesol", r"clave\s*sol", r"clave\s*de\s*acceso", r"clave(?:\s*de)?(?:\s*mi)?\s*(?:tarjeta|celular|cuenta|banco)",
-]
-_MENTION = r"(?iU)\b(?:" + "|".join(_SECRETS) + r")\b"
-_TIGHT = "|".join(["passwd", "password", "contrasenia", "contrasena", "codigodeverificacion", "claveseacceso", "clavesol"])
-_LOGIN = r"(?iU)(?:" + "|".join(["cuenta", "nick", "login", "user", "usuario"]) + r")\s*(?:sol)?\s*(?:[:=]|es)\s*[`'\"]?([\-._0-9a-zA-Z]{3,})"
-_CARE = r"(?iU)\bmis?\s+(?:" + "|".join([r"datos\s*biometricos", r"huella\s*(?:dactilar|digital)", r"afiliacion\s*(?:sindical|politica)", r"orientacion\s*sexual", "religion", "discapacidad", "cancer", "sida", "vih", r"historia\s*clinica", "enfermedad", "diagnostico"]) + r")\b"
-_MAIL = r"[%+.\-_0-9a-zA-Z]+@[\-.0-9a-zA-Z]+\.[a-zA-Z]{2,}"
-_MOBILE = r"(?<![0-9+])(?:[+]?51[\-\s]?)?9[0-9]{2}(?:[\-\s]?[0-9]{3}){2}(?![0-9])"
-_CARD = r"(?<![0-9])(?:[0-9][ \-]?){13,19}(?![0-9])"
-_ACCOUNT, _IDENTITY = r"(?<![0-9])[0-9]{20}(?![0-9])", r"(?<![0-9])[0-9]{8}(?![0-9])"
+_MENTION, _LOGIN, _CARE = r"(?iU)\b(?:" + CREDENTIAL_WORDS + r")\b", "(?iU)" + USER_WITH_VALUE, "(?iU)" + SENSITIVE
 REASONS = ("clave_sol", "credencial", "usuario", "cuenta_bancaria", "tarjeta", "celular", "dni", "email", "dato_sensible")
 
 
 def unmasked(c: Column | str) -> Column:
     """Folded text with digit disguises undone and spaces squeezed (not trimmed)."""
-    return F.regexp_replace(F.translate(folded(c), "013457@$", "oieastas"), SPACE, " ")
+    return F.regexp_replace(F.translate(folded(c), *DISGUISES), SPACE, " ")
 
 
 def card_numbers(c: Column | str) -> Column:
     """Runs of 13 to 19 digits, spaces and hyphens between them allowed, that pass the Luhn check."""
-    runs = F.transform(F.regexp_extract_all(col(c), F.lit(_CARD), F.lit(0)), lambda x: F.regexp_replace(x, r"[ \-]", ""))
+    runs = F.transform(F.regexp_extract_all(col(c), F.lit(CARD_NUMBER), F.lit(0)), lambda x: F.regexp_replace(x, r"[ \-]", ""))
     return F.filter(runs, lambda x: F.length(x).between(13, 19) & F.call_function("luhn_check", x))
 
 
@@ -43,17 +33,17 @@ def _views(t: Column) -> dict[str, Column]:
 
 
 def _reasons(t: Column, plain: Column, joined: Column, tight: Column) -> Column:
-    key = plain.rlike(r"(?U)clave\s*sol") | tight.contains("clavesol")
-    account = joined.rlike(_ACCOUNT)
+    key = plain.rlike("(?U)" + SOL_KEY) | tight.contains("clavesol")
+    account = joined.rlike(ACCOUNT_NUMBER)
     holds = {
         "clave_sol": key,
-        "credencial": ~key & (plain.rlike(_MENTION) | tight.rlike(_TIGHT)),
+        "credencial": ~key & (plain.rlike(_MENTION) | tight.rlike(CREDENTIAL_TIGHT)),
         "usuario": plain.rlike(_LOGIN),
         "cuenta_bancaria": account,
         "tarjeta": F.size(card_numbers(t)) > 0,
-        "celular": t.rlike(_MOBILE),
-        "dni": ~account & joined.rlike(_IDENTITY),
-        "email": t.rlike(_MAIL),
+        "celular": t.rlike("(?U)" + MOBILE_NUMBER),
+        "dni": ~account & joined.rlike(IDENTITY_NUMBER),
+        "email": t.rlike(EMAIL),
         "dato_sensible": plain.rlike(_CARE),
     }
     return F.array_compact(F.array(*(F.when(holds[r], F.lit(r)) for r in REASONS)))

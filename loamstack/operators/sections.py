@@ -8,14 +8,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from ..fixed import KNOWN_HEADINGS, PLAIN_CODE, SUB_LINE
 from .chunking import pack_units, tokens
 
-_KNOWN = sorted(
-    {"NOTAS", "NOTA", "A TRAVES DEL CANAL TELEFONICO", "EN FORMA PRESENCIAL", "DE MANERA PRESENCIAL", "REQUISITOS"}
-    | {f"CONDICIONES PARA {x}" for x in ("SER HABILITADO", "PRESENTAR", "OBTENER")}
-    | {f"{a}REQUISITOS {b}" for a in ("", "DOCUMENTACION ") for b in ("ESPECIFICOS", "GENERALES")}
-)
-_DOTTED = re.compile(r"^\s*0*([0-9]+(?:-[A-Z]){0,1}(?:[.][0-9]+)+)\s*(?:[:—–.\-]+\s*){0,1}(.*)$", re.I | re.S)
+_DOTTED = re.compile(SUB_LINE, re.I | re.S)
 _SIGN = re.compile(r"N\.?°")
 
 
@@ -37,7 +33,7 @@ def key(text: str | None) -> str:
 def code(text: str) -> str:
     """A dotted code: the first part as a catalogue code, numbers without leading zeros."""
     parts = clean(text).upper().split(".")
-    m = re.fullmatch(r"0*([0-9]+)(?:\s*[-]\s*([A-Z])){0,1}", _SIGN.sub("", parts[0]).strip(" .|"))
+    m = re.match(PLAIN_CODE, _SIGN.sub("", parts[0]).strip(" .|"))
     head = (f"{int(m[1])}-{m[2]}" if m[2] else str(int(m[1]))) if m else parts[0]
     return ".".join([head, *(str(int(p)) if p.isdigit() else p for p in parts[1:])])
 
@@ -54,7 +50,7 @@ def is_heading(line: str, subs: list[tuple[str, str]], more: tuple[str, ...] = (
     k = key(line)
     if not k:
         return False
-    return official(line, subs) is not None or len(line.split()) <= 35 and any(k == h or k.startswith(h + " ") for h in (*_KNOWN, *more))
+    return official(line, subs) is not None or len(line.split()) <= 35 and any(k == h or k.startswith(h + " ") for h in (*KNOWN_HEADINGS, *more))
 
 
 def sections(text: str, subs: list[tuple[str, str]], more: tuple[str, ...] = ()) -> list[tuple[str | None, str]]:

@@ -10,11 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import LOGIN_MARKERS, NON_HTML_EXTENSIONS, PDF_EXTENSION, TRACKING_PARAMS
 from ..functions.text import col, strip_edges
 
-TRACKING = ("_ga", "fbclid", "gclid", "mc_cid", "mc_eid", "msclkid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
-OTHER_FORMATS = tuple("." + x for x in "7z apk avi bmp css csv dmg doc docx exe flv gif gz ico jpeg jpg js json mkv mov mp3 mp4 msi odt png ppt pptx rar rss rtf svg tar tif tiff txt webm webp wmv xls xlsm xlsx xml zip".split())
-LOGIN_PATHS = ("iniciar-sesion", "/user/password", "/user/login", "/signin", "/login")
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -53,7 +51,7 @@ def canonical_url(c: Column | str) -> Column:
         F.filter(F.split(url_part(c, 4), "&"), lambda p: p != ""),
         lambda p: F.struct(_requoted(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _requoted(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")),
     )
-    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING)))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS)))
     query = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
     return F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
@@ -89,10 +87,10 @@ def decision(canon: Column, path: Column, host: Column, hay: Column, rules: Site
     ext = extension(path)
     plain = F.coalesce(F.nullif(F.regexp_replace(F.lower(path), "/+$", ""), F.lit("")), F.lit("/"))
     steps = [
-        ("pdf", F.when(ext == ".pdf", "pdf_extension"), False),
-        ("non_html", F.when(ext.isin(*OTHER_FORMATS), F.concat(F.lit("non_html_extension:"), ext)), False),
+        ("pdf", F.when(ext == PDF_EXTENSION, "pdf_extension"), False),
+        ("non_html", F.when(ext.isin(*NON_HTML_EXTENSIONS), F.concat(F.lit("non_html_extension:"), ext)), False),
         ("excluded_by_rule", F.when(host != rules.domain.lower(), F.concat(F.lit("wrong_domain:"), host)), False),
-        ("login", F.when(_first(LOGIN_PATHS, hay.contains).isNotNull(), "login_area"), False),
+        ("login", F.when(_first(LOGIN_MARKERS, hay.contains).isNotNull(), "login_area"), False),
         ("excluded_by_rule", F.concat(F.lit("global_exclude:"), _first(tuple(p.lower() for p in global_exclude), hay.contains)), False),
         ("excluded_by_rule", F.concat(F.lit("exclude_pattern:"), _first(rules.exclude, lambda p: hay.contains(p.lower()))), False),
         (None, F.concat(F.lit("include_url:"), _first(rules.urls, lambda p: plain == _rule_path(p))), True),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..fixed import EMAIL, TRACKING_PARAMS
 from ..functions.flags import is_question, status
 from ..functions.text import accent_map, catalogue_code, content_hash, fingerprint, path_slug, slug, sub_code, tax_id_valid, token_count, token_estimate, word_count
 from ..operators import audit, chunking, classify, dedup, pages, privacy, retrieval, urls
@@ -162,7 +163,7 @@ def tax_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- pages -------------------------------------------------------------------------------------------------------------
 
-_QUERY = "list_sort([p FOR p IN string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&') IF p <> '' AND lower(regexp_extract(p, '^([^=]*)', 1)) NOT IN ('_ga','fbclid','gclid','mc_cid','mc_eid','msclkid','utm_campaign','utm_content','utm_medium','utm_source','utm_term')])"
+_QUERY = "list_sort([p FOR p IN string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&') IF p <> '' AND lower(regexp_extract(p, '^([^=]*)', 1)) NOT IN (" + ", ".join(f"'{x}'" for x in TRACKING_PARAMS) + ")])"
 _URLS = f"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
   CASE WHEN regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') END AS path, array_to_string({_QUERY}, '&') AS query FROM pages),
 c AS (SELECT page_id, host, path, site || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url, lower(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END) AS hay FROM u)"""
@@ -258,7 +259,7 @@ def chunk_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- privacy -----------------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '[%+.\-_0-9a-zA-Z]+@[\-.0-9a-zA-Z]+\.[a-zA-Z]{2,}') AS email, regexp_matches(regexp_replace(text, '[ \-]', '', 'g'), '(^|[^0-9])[0-9]{20}($|[^0-9])') AS account,
+@query(r"""SELECT doc_id, regexp_matches(text, '""" + EMAIL + r"""') AS email, regexp_matches(regexp_replace(text, '[ \-]', '', 'g'), '(^|[^0-9])[0-9]{20}($|[^0-9])') AS account,
 NOT regexp_matches(regexp_replace(text, '[ \-]', '', 'g'), '(^|[^0-9])[0-9]{20}($|[^0-9])') AND regexp_matches(regexp_replace(text, '[ \-]', '', 'g'), '(^|[^0-9])[0-9]{8}($|[^0-9])') AS identity FROM documents""")
 def privacy_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = privacy.inspected(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("verdict.reasons").alias("r"))

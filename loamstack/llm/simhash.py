@@ -23,12 +23,14 @@ whole component has none. An empty table gives an empty result. Extra columns ar
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,22 +40,28 @@ from .components import components
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(raw: bytes | None, shingle: int = 4) -> int:
-    words = raw.translate(_LOWER).split() if raw else []
-    if not words:
-        return 0
+def _digests(words: list[bytes], shingle: int, digest, seed: int = 42) -> bytes:
+    """The digests of all shingles of a text that has words, end to end; fewer words than a shingle has are one shingle."""
     n = max(1, len(words) - shingle + 1)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh64_digest
-    packed = b"".join([digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)])
-    total = np.zeros(64, np.int64)
-    rows = np.frombuffer(packed, np.uint8).reshape(n, 8)
-    for i in range(0, n, 1 << 16):
+    return b"".join([digest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)])
+
+
+def _majority(packed: bytes, width: int) -> bytes:
+    """The bits that are set in over half of the digests of ``width`` bytes."""
+    rows = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    total = np.zeros(8 * width, np.int64)
+    for i in range(0, len(rows), 1 << 16):
         total += np.unpackbits(rows[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return np.packbits(2 * total > len(rows)).tobytes()
+
+
+def fingerprint(raw: bytes | None, shingle: int = 4) -> int:
+    words = raw.translate(_LOWER).split() if raw else []
+    return int.from_bytes(_majority(_digests(words, shingle, xxhash.xxh64_digest), 8), "big") if words else 0
 
 
 def with_fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 4, name: str = "fp") -> DataFrame:
@@ -119,17 +127,32 @@ def _visits(fps: np.ndarray, first: int, blocks: int, threshold: int) -> tuple[n
     return row, found, found == home[row]
 
 
-def _near(block: np.ndarray, fps: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count(block[:, None] ^ fps[None, :]) <= distance
+def _within(words: np.ndarray, limits: tuple[tuple[int, int], ...]):
+    """near(i, j): which rows i and j of ``words`` (row x column) agree. ``limits`` are (columns, bits): the first so many columns may
+    differ in so many bits together, then the next ones."""
+    first, most = limits[0]
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        found = sum(np.bitwise_count(words[i, c][:, None] ^ words[j, c][None, :]) for c in range(first)) <= most
+        at = first
+        for columns, bits in limits[1:]:
+            a, b = np.nonzero(found)
+            apart = sum(np.bitwise_count(words[i[a], c] ^ words[j[b], c]).astype(np.int64) for c in range(at, at + columns)) > bits
+            found[a[apart], b[apart]] = False
+            at += columns
+        return found
+
+    return near
 
 
-def _local_edges(fps: np.ndarray, resident: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A forest over the links of one anchor: (fingerprint, head) by breadth-first search from each unreached resident.
+def _local_edges(names: np.ndarray, resident: np.ndarray, near) -> list[tuple[int, int]]:
+    """A forest over the links of one anchor: (name, head's name) by breadth-first search from each unreached resident.
 
     A resident is reached once. A visitor can be reached from several heads: the link between it and a resident may be seen
     nowhere else. Links between two visitors are left to the anchors where one of them is at home."""
+    every, step = np.arange(len(names)), 1 << 15
     homes = np.flatnonzero(resident)
-    linked = [h for a in range(0, len(homes), 256) for h in homes[a : a + 256][sum(_near(fps[homes[a : a + 256]], fps[s : s + (1 << 15)], distance).sum(axis=1) for s in range(0, len(fps), 1 << 15)) > 1].tolist()]
+    linked = [h for a in range(0, len(homes), 256) for h in homes[a : a + 256][sum(near(homes[a : a + 256], every[s : s + step]).sum(axis=1) for s in range(0, len(names), step)) > 1].tolist()]
     edges, fresh = [], resident.copy()
     for head in linked:
         if not fresh[head]:
@@ -141,45 +164,51 @@ def _local_edges(fps: np.ndarray, resident: np.ndarray, distance: int) -> list[t
             rest = np.flatnonzero(open_)
             reached = np.zeros(len(rest), bool)
             for a in range(0, len(frontier), 256):
-                for s in range(0, len(rest), 1 << 15):
-                    reached[s : s + (1 << 15)] |= _near(fps[frontier[a : a + 256]], fps[rest[s : s + (1 << 15)]], distance).any(axis=0)
+                for s in range(0, len(rest), step):
+                    reached[s : s + step] |= near(frontier[a : a + 256], rest[s : s + step]).any(axis=0)
             got = rest[reached]
             open_[got] = False
-            edges += [(x, int(fps[head])) for x in fps[got].tolist()]
+            edges += [(x, int(names[head])) for x in names[got].tolist()]
             frontier = got[resident[got]]
             fresh[frontier] = False
     return edges
 
 
-def link_fingerprints(fps: DataFrame, *, distance: int = 4, two_from: int = 200_000_000) -> DataFrame:
-    """Edges (u, v) over the distinct fingerprints of column ``fp``: their components are those of all links."""
-    spark = fps.sparkSession
+def link_fingerprints(fps: DataFrame, *, distance: int = 4, two_from: int = 200_000_000, check: tuple[str, ...] = (), check_distance: int = 0, name: str = "fp") -> DataFrame:
+    """Edges (u, v) over the distinct fingerprints of column ``fp``: their components are those of all links.
+
+    With ``check``, further fingerprints (longs) travel along, and a link also needs them to differ in at most ``check_distance``
+    bits together; ``name`` is the column (long) that edges call a row by."""
     count = 3 if fps.count() < two_from else 2
     parts, threshold = segments(count), distance // count
+    carried = [*dict.fromkeys(("fp", *check, name))]
+    limits = ((1, distance), (len(check), check_distance)) if check else ((1, distance),)
+    named = carried.index(name)
 
     def deal(batches):
         for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            own = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
             for s in range(0, len(own), 8192):
                 some = own[s : s + 8192]
                 for k, (first, blocks) in enumerate(parts):
-                    row, anchor, home = _visits(some, first, blocks, threshold)
-                    yield pa.record_batch({"anchor": pa.array(anchor.astype(np.int32) * count + k, pa.int32()), "fp": pa.array(some[row].view(np.int64)), "home": pa.array(home)})
+                    row, anchor, home = _visits(some[:, 0].copy().view(np.uint64), first, blocks, threshold)
+                    yield pa.record_batch({"anchor": pa.array(anchor.astype(np.int32) * count + k, pa.int32()), "home": pa.array(home)} | {c: pa.array(some[row, i]) for i, c in enumerate(carried)})
 
-    n = partitions(spark)
-    dealt = fps.select("fp").mapInArrow(deal, "anchor int, fp long, home boolean").repartition(n, "anchor").sortWithinPartitions("anchor")
+    n = partitions(fps.sparkSession)
+    kind = "anchor int, home boolean, " + ", ".join(f"{c} long" for c in carried)
+    dealt = fps.select(*carried).mapInArrow(deal, kind).repartition(n, "anchor").sortWithinPartitions("anchor")
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
 
         def solved(table: pa.Table):
-            anchor = table.column(0).to_numpy()
-            own, home = table.column(1).to_numpy().view(np.uint64), table.column(2).to_numpy()
+            anchor, home = table.column(0).to_numpy(), table.column(1).to_numpy()
+            own = np.stack([table.column(2 + i).to_numpy() for i in range(len(carried))], axis=1).view(np.uint64)
             cut = np.flatnonzero(np.diff(anchor)) + 1
             edges = []
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(anchor)], strict=True):
                 if b - a > 1 and home[a:b].any():
-                    edges += _local_edges(own[a:b], home[a:b], distance)
+                    edges += _local_edges(own[a:b, named], home[a:b], _within(own[a:b], limits))
             if edges:
                 e = np.array(edges, np.uint64).view(np.int64)
                 yield pa.record_batch({"u": pa.array(e[:, 0].copy()), "v": pa.array(e[:, 1].copy())})
@@ -214,48 +243,144 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return printed.join(by_class, "fp").select(id_col, "fp", "component")
 
 
-def _sketch(raw: bytes | None, shingle: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    words = raw.translate(_LOWER).split() if raw else []
-    if not words:
-        return np.empty(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+class WordPrints(dict):
+    """Fingerprints over single words, each weighing its count to the power 0.75; forgets all words when full.
 
+    Texts that share 0.8 of their five-word shingles differ in about one word of fifty. That moves ten bits of a fingerprint over
+    shingles, which no covering search reaches, but two or three of one over words."""
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 4, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that are near copies of one that stays: the least id of their component.
+    def __init__(self, most: int = 100_000) -> None:
+        super().__init__()
+        self.signs = np.empty((most, 64), np.int8)
 
-    A document goes only if the Jaccard similarity of its shingles to those of the one that stays is ``similarity`` or more, so a
-    chain of links never takes a text that is its own; texts without a word count as equal. Rows that repeat the id of the one
-    that stays stay too; documents with a null id stay. Extra columns pass through."""
-    found = near_duplicates(docs.select(id_col, text), id_col=id_col, text=text, shingle=shingle, distance=distance)
-    suspects = written(found.filter(F.col("component").isNotNull() & (F.col(id_col) != F.col("component"))).select(F.col(id_col).alias("_sh_id"), F.col("component").alias("_sh_keep")).distinct(), "suspects")
-    kept_ids = suspects.select(F.col("_sh_keep").alias("_sh_id")).distinct()
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.signs[at] = np.unpackbits(np.frombuffer(xxhash.xxh64_digest(word, 42), np.uint8)).view(np.int8) * 2 - 1
+        return at
 
-    def sketches(batches):
+    def of(self, words: list[bytes]) -> int:
+        counts, total = Counter(words), np.zeros(64)
+        own = list(counts.items())
+        for i in range(0, len(own), 10_000):
+            some = own[i : i + 10_000]
+            if len(self) + len(some) > len(self.signs):
+                self.clear()
+            total += np.array([n for _, n in some], np.float32) ** 0.75 @ self.signs[[self[w] for w, _ in some]]
+        return int.from_bytes(np.packbits(total > 0).tobytes(), "big")
+
+
+def _shingle_set(packed: bytes) -> np.ndarray:
+    """The distinct shingles of 16-byte digests, sorted: the first half of each digest stands for its shingle."""
+    return np.unique(np.frombuffer(packed, "<u8")[::2])
+
+
+#: What the search knows of a text: its set of shingles (digest, and a long of it), the fingerprint of its words, and two longs of the
+#: 128-bit fingerprint of its shingles.
+_PRINTED = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("c0", T.LongType()), T.StructField("c1", T.LongType())])
+
+
+def _printed(slim: DataFrame, shingle: int) -> DataFrame:
+    """(_sh_id, key, node, fp, c0, c1) of (_sh_id, text)."""
+
+    def scan(batches):
+        prints = WordPrints()
         for table in in_batches(batches, 8 << 20):
-            blobs = [_sketch(x, shingle).astype("<u8").tobytes() for x in table.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch({"_sh_id": table.column(0).combine_chunks(), "_sh_key": pa.array([xxhash.xxh3_128_digest(b) for b in blobs], pa.binary()), "_sh_set": pa.array(blobs, pa.binary())})
+            keys, longs = [], np.zeros((table.num_rows, 4), np.int64)
+            for i, raw in enumerate(table.column(1).cast(pa.binary()).to_pylist()):
+                words = raw.translate(_LOWER).split() if raw else []
+                packed = _digests(words, shingle, xxhash.xxh3_128_digest) if words else b""
+                keys.append(xxhash.xxh3_128_digest(_shingle_set(packed).tobytes()))
+                if words:
+                    longs[i, 1:] = np.array([prints.of(words), *np.frombuffer(_majority(packed, 16), ">u8")], np.uint64).view(np.int64)
+                longs[i, 0] = int.from_bytes(keys[-1][:8], "big", signed=True)
+            yield pa.record_batch({"_sh_id": table.column(0).combine_chunks(), "key": pa.array(keys, pa.binary())} | {c: pa.array(longs[:, k].copy()) for k, c in enumerate(("node", "fp", "c0", "c1"))})
 
-    kind = T.StructType([T.StructField("_sh_id", docs.schema[id_col].dataType), T.StructField("_sh_key", T.BinaryType()), T.StructField("_sh_set", T.BinaryType())])
-    slim = docs.select(F.col(id_col).alias("_sh_id"), text)
-    own = written(slim.join(suspects, "_sh_id").select("_sh_id", text).mapInArrow(sketches, kind).join(suspects, "_sh_id"), "copies")
-    # copies with the same shingles are compared once, however many they are: ids are never gathered
-    sets = own.groupBy("_sh_keep", "_sh_key").agg(F.first("_sh_set").alias("_sh_set"))
-    base = slim.join(kept_ids, "_sh_id", "left_semi").mapInArrow(sketches, kind).groupBy(F.col("_sh_id").alias("_sh_keep")).agg(F.first("_sh_set").alias("_sh_base"))
+    return slim.mapInArrow(scan, T.StructType([slim.schema["_sh_id"], *_PRINTED.fields]))
 
-    def compare(batches):
-        for b in batches:
+
+def _sets(slim: DataFrame, family: DataFrame, shingle: int) -> DataFrame:
+    """(root, key, node, least, set): the shingles of each text of a family (key, node, root, least)."""
+    chosen = slim.join(family.withColumnRenamed("least", "_sh_id"), "_sh_id").select("_sh_id", slim.columns[1], "key", "node", "root")
+
+    def read(batches):
+        for table in in_batches(batches, 8 << 20):
+            found = []
+            for raw in table.column(1).cast(pa.binary()).to_pylist():
+                words = raw.translate(_LOWER).split() if raw else []
+                found.append(_shingle_set(_digests(words, shingle, xxhash.xxh3_128_digest) if words else b"").tobytes())
+            own = pa.array([xxhash.xxh3_128_digest(x) == k for x, k in zip(found, table.column(2).to_pylist(), strict=True)], pa.bool_())  # an id may stand for several texts
+            out = pa.table({"root": table.column(4), "key": table.column(2), "node": table.column(3), "least": table.column(0), "set": pa.array(found, pa.binary())})
+            yield from out.filter(own).combine_chunks().to_batches()
+
+    kind = T.StructType([T.StructField("root", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("node", T.LongType()), T.StructField("least", slim.schema["_sh_id"].dataType), T.StructField("set", T.BinaryType())])
+    return chosen.mapInArrow(read, kind).dropDuplicates(["key"])
+
+
+def _verified(sets: DataFrame, similarity: float, *, heads: int = 32, most_heads: int = 1024, block: int = 500) -> DataFrame:
+    """Edges (u, v) over ``node`` between texts of one family that are as similar as that.
+
+    In a round the first texts of each family that nothing is similar to yet are its heads; all texts of the family are compared
+    with them, in blocks. A text gives one edge, to its first head, and a block at most one per pair of heads that a text lies
+    between. Rounds go on, with twice as many heads, until every text is a head or similar to one."""
+    split = sets.groupBy("root").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = written(sets.join(split, "root").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))), "sets")
+    active, edges = dealt.select("root", "key", "least"), None
+    order = Window.partitionBy("root").orderBy("least", "key")
+
+    def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("rank", ignore_index=True)
+        first, names = [np.frombuffer(x, "<u8") for x in left["set"]], left["node"].tolist()
+        out, between = [], set()
+        for node, blob in zip(right["node"].tolist(), right["set"], strict=True):
+            x = np.frombuffer(blob, "<u8")
             near = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.filter(pa.array(near, pa.bool_())).select(["_sh_keep", "_sh_key"])
-
-    near = sets.join(base, "_sh_keep").select("_sh_keep", "_sh_key", "_sh_set", "_sh_base").mapInArrow(compare, T.StructType([own.schema["_sh_keep"], own.schema["_sh_key"]]))
-    gone = own.select("_sh_id", "_sh_keep", "_sh_key").join(near, ["_sh_keep", "_sh_key"], "left_semi").select("_sh_id").distinct()
+            for h, own in enumerate(first):
+                if names[h] != node and min(len(x), len(own)) >= similarity * max(len(x), len(own)):
+                    both = len(np.intersect1d(x, own, assume_unique=True))
+                    if both >= similarity * (len(x) + len(own) - both):
+                        near.append(h)
+            if near:
+                out.append((node, names[near[0]]))
+                between.update((names[h], names[near[0]]) for h in near[1:])
+        return pd.DataFrame([*out, *between], columns=["u", "v"]).astype("int64")
+
+    while True:
+        first = active.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= heads).select("key", "rank")
+        chosen = written(dealt.join(first, "key").select("root", "key", "rank", "node", "parts", "set"), "heads")
+        if not chosen.count():
+            return edges
+        wanted = chosen.select("root", "rank", "node", "set", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        others = dealt.join(chosen.select("root").distinct(), "root", "left_semi").select("root", "part", "node", "set")
+        found = written(wanted.groupBy("root", "part").cogroup(others.groupBy("root", "part")).applyInPandas(compare, "u long, v long"), "links")
+        edges = found if edges is None else edges.unionByName(found)
+        tied = dealt.select("key", "node").join(found.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("key")
+        active = written(active.join(chosen.select("key").unionByName(tied), "key", "left_anti").select("root", "key", "least"), "active")
+        heads = min(most_heads, 2 * heads)
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 5, check_distance: int = 27) -> DataFrame:
+    """``docs`` without the documents that are near copies: of each group the least id stays.
+
+    Two texts are linked if their sets of shingles have a Jaccard similarity of ``similarity`` or more (texts without a word are
+    equal); groups hang together by links, each checked on the whole sets. Candidates are texts whose word fingerprints differ in at
+    most ``distance`` bits, found by anchors, and whose 128-bit shingle fingerprints differ in at most ``check_distance``. Rows that
+    repeat the id that stays stay too; documents with a null id stay. Extra columns pass through; an empty table stays empty."""
+    slim = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_sh_id"), F.col(text).alias("_sh_text"))
+    printed = written(_printed(slim, shingle), "prints")
+    # texts of equal sets are one from here on: the prints are those of the least id, so that every run searches alike
+    classes = printed.groupBy("key", "node").agg(F.min(F.struct("_sh_id", "fp", "c0", "c1")).alias("p"), F.count("*").alias("n"))
+    classes = written(classes.select("key", "node", F.col("p._sh_id").alias("least"), "n", "p.fp", "p.c0", "p.c1"), "classes")
+    roots = components(link_fingerprints(classes, distance=distance, check=("c0", "c1"), check_distance=check_distance, name="node"))
+    family = classes.join(roots, "node").select("key", "node", "root", "least")
+    links = _verified(_sets(slim, family, shingle), similarity)
+    stays = classes.select("key", "node", "least", "n")
+    if links is None:
+        tied = stays.filter("n > 1").withColumn("stay", F.col("least"))
+    else:
+        groups = classes.select("node", "least").join(components(links), "node")
+        stay = groups.groupBy("root").agg(F.min("least").alias("stay"))
+        tied = stays.join(groups.join(stay, "root").select("node", "stay"), "node", "left").withColumn("stay", F.coalesce("stay", "least")).filter((F.col("n") > 1) | (F.col("stay") != F.col("least")))
+    gone = printed.select("_sh_id", "key").join(tied.select("key", "stay"), "key").filter(F.col("_sh_id") != F.col("stay")).select("_sh_id").distinct()
     return docs.join(gone, F.col(id_col) == F.col("_sh_id"), "left_anti")
 
 

@@ -168,3 +168,72 @@ def test_drop_near_duplicates(spark, corpus):
     assert left.columns == docs.columns
     assert 3 in ids and not {4, 6, 60} & set(ids) and 0 in ids and not {1, 2} & set(ids)
     assert {7, 8, 9, 10, 11, 12, 13, 14, 15, 16} <= set(ids)
+
+
+def near_groups(docs, shingle=5, similarity=0.8):
+    """The least id of each document's group, by all pairs of shingle sets."""
+    sets = []
+    for _, t in docs:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else {None})
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= similarity * len(x | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return {d: least[find(i)] for i, (d, _) in enumerate(docs)}
+
+
+def near_copies():
+    rng = np.random.default_rng(8)
+    words = np.array(["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(400)])
+    weight = 1 / np.arange(1, 401)
+    say = lambda n: rng.choice(words, n, p=weight / weight.sum()).tolist()
+    texts = []
+    for _ in range(12):
+        base = say(int(rng.integers(60, 400)))
+        texts.append(base)
+        for _ in range(4):
+            copy = base[:]
+            for at in rng.choice(len(base), max(1, len(base) // 60), replace=False):
+                copy[at] = "changed"
+            texts.append(copy)
+    texts += [say(int(n)) for n in rng.integers(1, 300, 40)]
+    ids = rng.permutation(len(texts)).tolist()
+    return [(int(i), " ".join(t)) for i, t in zip(ids, texts, strict=True)]
+
+
+def test_near_copies_leave_one_of_each_group(spark):
+    docs = near_copies()
+    want = near_groups(docs)
+    left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    gone = {d for d, _ in docs} - left
+    due = {d for d, g in want.items() if g != d}
+    assert gone <= due and len(gone) >= 0.95 * len(due) and len(due) >= 40
+
+
+def test_links_are_verified_in_rounds_and_blocks(spark):
+    docs = near_copies()
+    slim = spark.createDataFrame(docs, "_sh_id long, _sh_text string")
+    family = simhash._printed(slim, 5).selectExpr("key", "node", "0L AS root", "_sh_id AS least")
+    sets = simhash._sets(slim, family, 5)
+    links = simhash._verified(sets, 0.8, heads=1, block=7)
+    node = {r.node: r.least for r in sets.collect()}
+    root = {node[r.node]: node[r.root] for r in components.components(links).collect()}
+    groups = {}
+    for d in node.values():
+        groups.setdefault(root.get(d, d), set()).add(d)
+    want = {}
+    for d, g in near_groups(docs).items():
+        want.setdefault(g, set()).add(d)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))

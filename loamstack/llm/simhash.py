@@ -16,6 +16,9 @@ segment) up to ``two_from`` distinct fingerprints, then two of 28 bits (65536 an
 An anchor emits no pairs, but one edge per fingerprint to the head of its local group; a star-contraction turns the edges
 into components. Residents are compared in blocks, so a group of thousands of near copies is no memory problem.
 
+``drop_near_duplicates`` serves filtering by similarity: fingerprints over words find the candidates in the same way, 128-bit
+fingerprints over shingles and then the whole sets of shingles decide.
+
 Defined results. No words, or null text: fingerprint zero, linked like any other. Fewer words than a shingle has: the whole
 sequence is the single shingle. Repeated rows share their fingerprint. A null id never becomes a component id unless its
 whole component has none. An empty table gives an empty result. Extra columns are ignored.

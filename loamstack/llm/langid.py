@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import fold_bucket, in_batches, require
+from ._shared import fold_bucket, in_batches, low_hash, require
 
 UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -105,8 +105,10 @@ class Model:
         return np.where(empty, -1, best), np.where(empty, 0.0, score.astype(np.float64))
 
 
-def _sample(rows: DataFrame, lang: str, id_col: str, per_language: int) -> DataFrame:
-    """At most so many rows per language, in hash order; Spark cuts each task's rows to that number before it shuffles."""
+def _sample(rows: DataFrame, lang: str, id_col: str, per_language: int, most_languages: int) -> DataFrame:
+    """At most so many rows of each language (of the most frequent ones, if there are too many), in hash order."""
+    sizes = rows.groupBy(lang).agg(F.count("*").alias("_ln_n")).orderBy(F.desc("_ln_n"), lang).limit(most_languages)
+    rows = rows.join(F.broadcast(sizes), lang).filter(low_hash(id_col, 17, per_language, F.col("_ln_n")))  # a row per language
     order = Window.partitionBy(lang).orderBy(F.xxhash64(F.lit(17), id_col), id_col)
     return rows.withColumn("_ln_rank", F.row_number().over(order)).filter(F.col("_ln_rank") <= per_language)
 
@@ -117,7 +119,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", id_col:
     spark = labelled.sparkSession
     usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     # ids first: the sample is drawn without its texts, and only the drawn rows' texts are read
-    drawn = _sample(usable.select(id_col, lang), lang, id_col, training).select(id_col, F.col(lang).alias("_ln_lang"), "_ln_rank").orderBy("_ln_rank", "_ln_lang").limit(training * most_languages).collect()
+    drawn = _sample(usable.select(id_col, lang), lang, id_col, training, most_languages).select(id_col, F.col(lang).alias("_ln_lang"), "_ln_rank").orderBy("_ln_rank", "_ln_lang").limit(training * most_languages).collect()
     if not drawn:
         return None
     languages = sorted({r["_ln_lang"] for r in drawn})

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import in_batches, require, written
+from ._shared import in_batches, low_hash, require, written
 
 _MARGIN = 1e-6
 
@@ -116,8 +116,8 @@ def top_k(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_
     if not shape.n:
         return spark.createDataFrame([], kind)
     dim = max(1, shape.dim)
-    # a bounded sample in hash order: a TakeOrdered, whatever the size of the table
-    drawn = data.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+    # a bounded sample in hash order, whatever the size of the table
+    drawn = data.filter(low_hash("id", 29, sample_rows, shape.n)).orderBy(F.xxhash64(F.lit(29), "id"), "id").limit(sample_rows).collect()
     count = int(min(1024, max(4, shape.n // 4096)))
     pivots = Pivots(np.array([r.id for r in drawn], np.int64), matrix((bytes(r.vec) for r in drawn), dim), count)
     shared = spark.sparkContext.broadcast(pivots)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import fold_bucket, in_batches, require
+from ._shared import fold_bucket, in_batches, low_hash, require
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LONG = 48
@@ -193,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str =
     known = labels.select(F.col(id_col).alias("_tx_id"), F.col(label).cast("int").alias("_tx_label")).filter("_tx_label IN (0, 1) AND _tx_id IS NOT NULL")
     drawn = []
     for value, most in ((1, positives), (0, negatives)):
-        drawn += known.filter(F.col("_tx_label") == value).orderBy(F.xxhash64(F.lit(23), "_tx_id"), "_tx_id").limit(most).collect()
+        own = known.filter(F.col("_tx_label") == value)
+        drawn += own.filter(low_hash("_tx_id", 23, most, max(1, own.count()))).orderBy(F.xxhash64(F.lit(23), "_tx_id"), "_tx_id").limit(most).collect()
     n1 = sum(r["_tx_label"] for r in drawn)
     n0 = len(drawn) - n1
     if not n1 or not n0:

@@ -246,30 +246,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return printed.join(by_class, "fp").select(id_col, "fp", "component")
 
 
-class WordPrints(dict):
-    """Fingerprints over single words, each weighing its count to the power 0.75; forgets all words when full.
+def word_fingerprint(words: list[bytes]) -> int:
+    """The fingerprint over single words, each weighing its count to the power 0.75; zero for none.
 
     Texts that share 0.8 of their five-word shingles differ in about one word of fifty. That moves ten bits of a fingerprint over
     shingles, which no covering search reaches, but two or three of one over words."""
-
-    def __init__(self, most: int = 100_000) -> None:
-        super().__init__()
-        self.signs = np.empty((most, 64), np.int8)
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        self.signs[at] = np.unpackbits(np.frombuffer(xxhash.xxh64_digest(word, 42), np.uint8)).view(np.int8) * 2 - 1
-        return at
-
-    def of(self, words: list[bytes]) -> int:
-        counts, total = Counter(words), np.zeros(64)
-        own = list(counts.items())
-        for i in range(0, len(own), 10_000):
-            some = own[i : i + 10_000]
-            if len(self) + len(some) > len(self.signs):
-                self.clear()
-            total += np.array([n for _, n in some], np.float32) ** 0.75 @ self.signs[[self[w] for w, _ in some]]
-        return int.from_bytes(np.packbits(total > 0).tobytes(), "big")
+    counts, total = Counter(words), np.zeros(64)
+    own, weights = list(counts), np.fromiter(counts.values(), np.float32, len(counts)) ** 0.75
+    for i in range(0, len(own), 1 << 15):
+        bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in own[i : i + (1 << 15)]]), np.uint8).reshape(-1, 8), axis=1)
+        total += weights[i : i + (1 << 15)] @ bits.astype(np.float32)
+    return int.from_bytes(np.packbits(2 * total > weights.sum(dtype=np.float64)).tobytes(), "big")
 
 
 def _shingle_set(packed: bytes) -> np.ndarray:
@@ -286,7 +273,6 @@ def _printed(slim: DataFrame, shingle: int) -> DataFrame:
     """(_sh_id, key, node, fp, c0, c1) of (_sh_id, text)."""
 
     def scan(batches):
-        prints = WordPrints()
         for table in in_batches(batches, 8 << 20):
             keys, longs = [], np.zeros((table.num_rows, 4), np.int64)
             for i, raw in enumerate(table.column(1).cast(pa.binary()).to_pylist()):
@@ -294,7 +280,7 @@ def _printed(slim: DataFrame, shingle: int) -> DataFrame:
                 packed = _digests(words, shingle, xxhash.xxh3_128_digest) if words else b""
                 keys.append(xxhash.xxh3_128_digest(_shingle_set(packed).tobytes()))
                 if words:
-                    longs[i, 1:] = np.array([prints.of(words), *np.frombuffer(_majority(packed, 16), ">u8")], np.uint64).view(np.int64)
+                    longs[i, 1:] = np.array([word_fingerprint(words), *np.frombuffer(_majority(packed, 16), ">u8")], np.uint64).view(np.int64)
                 longs[i, 0] = int.from_bytes(keys[-1][:8], "big", signed=True)
             yield pa.record_batch({"_sh_id": table.column(0).combine_chunks(), "key": pa.array(keys, pa.binary())} | {c: pa.array(longs[:, k].copy()) for k, c in enumerate(("node", "fp", "c0", "c1"))})
 

@@ -103,72 +103,76 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """``docs`` with ``_dc_n_words``, ``_dc_n_hit``, ``_dc_items`` (sorted ids as strings) and ``_dc_spans`` (hit [start, end)
     word spans as int pairs); with ``clean``, also ``_dc_clean``: the text whose hit words are cut out (unchanged if none is)."""
     require(docs, **{text: T.StringType})
-    spark = docs.sparkSession
-    out, names = docs, []
-    for n, held in enumerate(_slices(benchmark, item, item_text, slice_bytes)):
-        out = _scan_slice(out, spark.sparkContext.broadcast(NgramSet(held, width)), text, f"{PREFIX}{n}")
-        names.append(f"{PREFIX}{n}")
-    if not names:
-        out, names = _scan_slice(docs, spark.sparkContext.broadcast(NgramSet([], width)), text, f"{PREFIX}0"), [f"{PREFIX}0"]
-    return _merged(out, names, text, clean)
-
-
-def _scan_slice(docs: DataFrame, shared, text: str, name: str) -> DataFrame:
-    """``docs`` and a struct of what one slice hits."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType([T.StructField("n", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]))])
-    at = docs.columns.index(text)
+    context = docs.sparkSession.sparkContext
+    sets = [context.broadcast(NgramSet(held, width)) for held in _slices(benchmark, item, item_text, slice_bytes)] or [context.broadcast(NgramSet([], width))]
+    names, out = [f"{PREFIX}{n}" for n in range(len(sets))], docs
+    for shared, name in zip(sets[:-1], names[:-1], strict=True):
+        out = out.mapInArrow(_each(_scanner(shared, out.columns.index(text), name)), T.StructType([*out.schema.fields, _found_field(name)]))
+    # the last scan and the merge are one step: a task has one Python worker
+    scan, (merge, schema) = _scanner(sets[-1], out.columns.index(text), names[-1]), _merger(docs.schema, names, text, clean)
+    return out.mapInArrow(_each(lambda table: merge(scan(table))), schema)
+
+
+def _each(step):
+    def run(batches):
+        for table in in_batches(batches):
+            yield from step(table).combine_chunks().to_batches()
+
+    return run
+
+
+def _found_field(name: str) -> T.StructField:
+    return T.StructField(name, T.StructType([T.StructField("n", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]))
+
+
+def _scanner(shared, at: int, name: str):
+    """Table to table: adds a struct of what one slice hits."""
     kind = pa.struct([("n", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
-    def scan(batches):
-        grams, powers = shared.value, Powers()
-        for table in in_batches(batches):
-            found = []
-            for raw in table.column(at).cast(pa.binary()).to_pylist():
-                hit, items = grams.scan(words_of(raw), powers)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))) if items else ()
-                found.append({"n": len(hit), "spans": list(map(int, edge)), "items": sorted({grams.names[i] for i in items} - {None})})
-            table = table.append_column(name, pa.array(found, kind))
-            yield from table.combine_chunks().to_batches()
+    def scan(table: pa.Table) -> pa.Table:
+        grams, powers, found = shared.value, Powers(), []
+        for raw in table.column(at).cast(pa.binary()).to_pylist():
+            hit, items = grams.scan(words_of(raw), powers)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))) if items else ()
+            found.append({"n": len(hit), "spans": list(map(int, edge)), "items": sorted({grams.names[i] for i in items} - {None})})
+        return table.append_column(name, pa.array(found, kind))
 
-    return docs.mapInArrow(scan, schema)
+    return scan
 
 
-def _merged(out: DataFrame, names: list[str], text: str, clean: bool) -> DataFrame:
-    """Sums the slices up per document, still in the document's own row."""
+def _merger(docs: T.StructType, names: list[str], text: str, clean: bool):
+    """(table to table, schema): sums the slices up per document, still in the document's own row."""
     added = [T.StructField(f"{PREFIX}n_words", T.LongType()), T.StructField(f"{PREFIX}n_hit", T.LongType()), T.StructField(f"{PREFIX}items", T.ArrayType(T.StringType())), T.StructField(f"{PREFIX}spans", T.ArrayType(T.IntegerType()))]
     if clean:
         added.append(T.StructField(f"{PREFIX}clean", T.StringType()))
-    kept = [f for f in out.schema.fields if f.name not in names]
-    at, cols = out.columns.index(text), [out.columns.index(n) for n in names]
-    positions = [out.columns.index(f.name) for f in kept]
-
-    def merge(batches):
-        for table in in_batches(batches):
-            rows = {f.name: [] for f in added}
-            raws = table.column(at).cast(pa.binary()).to_pylist()
-            parts = [table.column(c).to_pylist() for c in cols]
-            for i, raw in enumerate(raws):
-                n = parts[0][i]["n"]
-                hit, items = np.zeros(n, bool), set()
-                for p in parts:
-                    edge = p[i]["spans"]
-                    for a, b in zip(edge[::2], edge[1::2], strict=True):
-                        hit[a:b] = True
-                    items.update(p[i]["items"])
-                edge = [int(x) for x in np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))] if n else []
-                rows[f"{PREFIX}n_words"].append(n)
-                rows[f"{PREFIX}n_hit"].append(int(hit.sum()))
-                rows[f"{PREFIX}items"].append(sorted(items))
-                rows[f"{PREFIX}spans"].append(edge)
-                if clean:
-                    rows[f"{PREFIX}clean"].append(None if raw is None else cut(raw, edge).decode("utf-8", "replace"))
-            done = table.select(positions)
-            kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.int32()), "clean": pa.string()}
-            for f in added:
-                done = done.append_column(f.name, pa.array(rows[f.name], kinds[f.name.removeprefix(PREFIX)]))
-            yield from done.combine_chunks().to_batches()
-
-    return out.mapInArrow(merge, T.StructType([*kept, *added]))
+    width, at = len(docs.fields), docs.names.index(text)
+    kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.int32()), "clean": pa.string()}
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = {f.name: [] for f in added}
+        raws = table.column(at).cast(pa.binary()).to_pylist()
+        parts = [table.column(width + k).to_pylist() for k in range(len(names))]
+        for i, raw in enumerate(raws):
+            n = parts[0][i]["n"]
+            hit, items = np.zeros(n, bool), set()
+            for p in parts:
+                edge = p[i]["spans"]
+                for a, b in zip(edge[::2], edge[1::2], strict=True):
+                    hit[a:b] = True
+                items.update(p[i]["items"])
+            edge = [int(x) for x in np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))] if n else []
+            rows[f"{PREFIX}n_words"].append(n)
+            rows[f"{PREFIX}n_hit"].append(int(hit.sum()))
+            rows[f"{PREFIX}items"].append(sorted(items))
+            rows[f"{PREFIX}spans"].append(edge)
+            if clean:
+                rows[f"{PREFIX}clean"].append(None if raw is None else cut(raw, edge).decode("utf-8", "replace"))
+        done = table.select(range(width))
+        for f in added:
+            done = done.append_column(f.name, pa.array(rows[f.name], kinds[f.name.removeprefix(PREFIX)]))
+        return done
+
+    return merge, T.StructType([*docs.fields, *added])
 
 
 def cut(raw: bytes, edges: list[int]) -> bytes:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import fold_bucket, in_batches, low_hash, require
+from ._shared import fold_bucket, in_batches, low_hash, require, written
 
 UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", id_col:
 
     texts = usable.select(id_col, text, lang).join(F.broadcast(ids), id_col).select(id_col, text, lang)  # at most training * languages ids
     kind = T.StructType([labelled.schema[id_col], T.StructField("grams", T.BinaryType()), T.StructField("lang", T.StringType())])
-    sampled = texts.mapInArrow(presence, kind)
+    sampled = written(texts.mapInArrow(presence, kind), "language-sample")  # read twice, and a task has one Python worker
     marks_wanted = spark.createDataFrame([(i,) for i, r in rank.items() if r <= landmarks], T.StructType([labelled.schema[id_col]]))
     marks = [np.frombuffer(bytes(r.grams), "<i4") for r in sampled.join(F.broadcast(marks_wanted), id_col).orderBy(id_col).limit(landmarks * most_languages).collect()]
     marks = [m for m in marks if len(m)]

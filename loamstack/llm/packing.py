@@ -63,7 +63,7 @@ def encoder_for(path: str) -> Encoder:
 class Encoder(dict):
     """Token ids of whole texts as little-endian uint32 bytes; single words are remembered, as many as fit."""
 
-    def __init__(self, path: str, most_words: int = 600_000) -> None:
+    def __init__(self, path: str, most_words: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 

@@ -237,3 +237,20 @@ def test_links_are_verified_in_rounds_and_blocks(spark):
     for d, g in near_groups(docs).items():
         want.setdefault(g, set()).add(d)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_blocks_added_cut_and_replaced_are_found(spark):
+    rng = np.random.default_rng(4)
+    words = np.array(["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(400)])
+    say = lambda n: rng.choice(words, n).tolist()
+    texts = []
+    for _ in range(15):
+        base = say(200)
+        texts += [base, base[:170], say(200)]
+        base = say(200)
+        texts += [base, base + say(34)]
+        base = say(200)
+        texts += [base, base[:90] + say(14) + base[104:]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    assert left == {d for d, g in near_groups(docs).items() if g == d} and len(left) == len(docs) - 45

@@ -378,16 +378,20 @@ def _verified(sets: DataFrame, similarity: float, *, heads: int = 32, most_heads
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that are near copies: of each group the least id stays.
+    """``docs`` without the rows that are near copies: of each group one row stays, the one of the least id.
 
     Two texts are linked if their sets of shingles have a Jaccard similarity of ``similarity`` or more (texts without a word are
     equal); groups hang together by links, each checked on the whole sets. Candidates are texts that share a band of min-hashes.
-    Rows that repeat the id that stays stay too; documents with a null id stay. Extra columns pass through; an empty table stays
-    empty."""
-    slim = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_sh_id"), F.col(text).alias("_sh_text"))
+    Rows are told apart by a key of their own: an id may be repeated, or stand for several texts, or be null (a null id stays only
+    where its whole group has none). Extra columns pass through; an empty table stays empty."""
+    rows = written(docs.withColumn("_sh_row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its key
+    slim = rows.select(F.col("_sh_row").alias("_sh_id"), F.col(text).alias("_sh_text"))
     printed = written(_printed(slim, shingle), "prints")
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.col("_sh_row").alias("row"))
+    placed = printed.join(rows.select(F.col("_sh_row").alias("_sh_id"), place.alias("place")), "_sh_id")
     # texts of equal sets are one from here on; their bands are equal too
-    classes = written(printed.groupBy("key", "node").agg(F.min("_sh_id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = written(placed.groupBy("key", "node").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = classes.withColumn("least", F.col("place.row"))
     roots = components(link_bands(classes))
     family = classes.join(roots, "node").select("key", "node", "root", "least")
     links = _verified(_sets(slim, family, shingle), similarity)
@@ -395,11 +399,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str =
     if links is None:
         tied = stays.filter("n > 1").withColumn("stay", F.col("least"))
     else:
-        groups = classes.select("node", "least").join(components(links), "node")
-        stay = groups.groupBy("root").agg(F.min("least").alias("stay"))
-        tied = stays.join(groups.join(stay, "root").select("node", "stay"), "node", "left").withColumn("stay", F.coalesce("stay", "least")).filter((F.col("n") > 1) | (F.col("stay") != F.col("least")))
-    gone = printed.select("_sh_id", "key").join(tied.select("key", "stay"), "key").filter(F.col("_sh_id") != F.col("stay")).select("_sh_id").distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_sh_id"), "left_anti")
+        groups = classes.select("node", "place").join(components(links), "node")
+        stay = groups.groupBy("root").agg(F.min("place").alias("stay"))
+        tied = stays.join(groups.join(stay, "root").select("node", F.col("stay.row").alias("stay")), "node", "left").withColumn("stay", F.coalesce("stay", "least")).filter((F.col("n") > 1) | (F.col("stay") != F.col("least")))
+    gone = printed.select("_sh_id", "key").join(tied.select("key", "stay"), "key").filter(F.col("_sh_id") != F.col("stay")).select(F.col("_sh_id").alias("_sh_row"))
+    return rows.join(gone, "_sh_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:

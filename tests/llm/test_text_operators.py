@@ -254,3 +254,14 @@ def test_blocks_added_cut_and_replaced_are_found(spark):
     docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
     left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
     assert left == {d for d, g in near_groups(docs).items() if g == d} and len(left) == len(docs) - 45
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    rng = np.random.default_rng(5)
+    say = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(100))
+    a, b, c, d, e = (say() for _ in range(5))
+    rows = [(None, a, "1"), (None, a, "2"), (1, b, "3"), (1, b, "4"), (2, c, "5"), (3, c, "6"), (3, d, "7"), (None, d, "8"), (3, e, "9"), (None, say(), "10"), (None, e + " more", "11")]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS + ", kind string"))
+    got = [tuple(r) for r in left.collect()]
+    assert left.columns == ["doc_id", "text", "kind"] and len(got) == 6
+    assert sorted((r[0] or 0, r[1]) for r in got) == sorted([(0, a), (1, b), (2, c), (3, d), (3, e), (0, rows[9][1])])

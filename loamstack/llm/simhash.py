@@ -335,15 +335,44 @@ def _sets(slim: DataFrame, family: DataFrame, shingle: int) -> DataFrame:
     return chosen.mapInArrow(read, kind).dropDuplicates(["key"])
 
 
+def _across(tied: DataFrame, edges: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Edges (u, v) between similar texts of ``tied`` (root, key, node, set) that ``edges`` leave in different groups of their family.
+
+    Each block of a family meets itself and each other one in a task of its own, which gives fewer edges than it has groups."""
+    grouped = tied.select("root", "key", "node", "set").join(components(edges).withColumnRenamed("root", "group"), "node")
+    several = grouped.groupBy("root").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.ceil(F.count("*") / block).alias("parts")).filter("a <> b").select("root", "parts")
+    dealt = written(grouped.join(several, "root").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))), "across")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    met = dealt.select("root", "node", "group", "set", "part", every.alias("other")).select("root", "node", "group", "set", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") <= F.col("other")).alias("first"))
+
+    def compare(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        sets, nodes, groups = [np.frombuffer(x, "<u8") for x in own["set"]], own["node"].tolist(), own["group"].to_numpy().copy()
+        first, sizes, out = own["first"].to_numpy(), np.array([len(x) for x in sets]), []
+        for i, x in enumerate(sets):
+            may = (np.minimum(sizes, len(x)) >= similarity * np.maximum(sizes, len(x))) & (np.arange(len(sets)) > i) & (groups != groups[i])
+            if key[1] != key[2]:
+                may &= first != first[i]
+            for j in np.flatnonzero(may).tolist():
+                if groups[i] != groups[j]:
+                    both = len(np.intersect1d(x, sets[j], assume_unique=True))
+                    if both >= similarity * (len(x) + len(sets[j]) - both):
+                        out.append((nodes[i], nodes[j]))
+                        groups[groups == groups[j]] = groups[i]
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return met.groupBy("root", "p", "q").applyInPandas(compare, "u long, v long")
+
+
 def _verified(sets: DataFrame, similarity: float, *, heads: int = 32, most_heads: int = 1024, block: int = 500) -> DataFrame:
     """Edges (u, v) over ``node`` between texts of one family that are as similar as that.
 
     In a round the first texts of each family that nothing is similar to yet are its heads; all texts of the family are compared
     with them, in blocks. A text gives one edge, to its first head, and a block at most one per pair of heads that a text lies
-    between. Rounds go on, with twice as many heads, until every text is a head or similar to one."""
+    between. Rounds go on, with twice as many heads, until every text is a head or similar to one. Texts that are no heads, and that
+    these edges leave in different groups of their family, are then compared with each other (``_across``)."""
     split = sets.groupBy("root").agg(F.ceil(F.count("*") / block).alias("parts"))
     dealt = written(sets.join(split, "root").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))), "sets")
-    active, edges = dealt.select("root", "key", "least"), None
+    active, edges, met = dealt.select("root", "key", "least"), None, None
     order = Window.partitionBy("root").orderBy("least", "key")
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -367,11 +396,12 @@ def _verified(sets: DataFrame, similarity: float, *, heads: int = 32, most_heads
         first = active.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= heads).select("key", "rank")
         chosen = written(dealt.join(first, "key").select("root", "key", "rank", "node", "parts", "set"), "heads")
         if not chosen.count():
-            return edges
+            return edges if edges is None else edges.unionByName(_across(dealt.join(met, "key", "left_anti"), edges, similarity, block))
         wanted = chosen.select("root", "rank", "node", "set", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         others = dealt.join(chosen.select("root").distinct(), "root", "left_semi").select("root", "part", "node", "set")
         found = written(wanted.groupBy("root", "part").cogroup(others.groupBy("root", "part")).applyInPandas(compare, "u long, v long"), "links")
         edges = found if edges is None else edges.unionByName(found)
+        met = chosen.select("key") if met is None else met.unionByName(chosen.select("key"))  # compared with their whole family
         tied = dealt.select("key", "node").join(found.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("key")
         active = written(active.join(chosen.select("key").unionByName(tied), "key", "left_anti").select("root", "key", "least"), "active")
         heads = min(most_heads, 2 * heads)

@@ -265,3 +265,13 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     got = [tuple(r) for r in left.collect()]
     assert left.columns == ["doc_id", "text", "kind"] and len(got) == 6
     assert sorted((r[0] or 0, r[1]) for r in got) == sorted([(0, a), (1, b), (2, c), (3, d), (3, e), (0, rows[9][1])])
+
+
+def test_links_between_texts_tied_to_different_heads(spark):
+    """A chain h1~x, x~y, y~h2 where only neighbours are similar, and h1 and h2 are the heads."""
+    words = [f"w{i}" for i in range(204)]
+    chain = [words[i : i + 150] for i in (0, 15, 30, 45)]
+    slim = spark.createDataFrame([(i, " ".join(chain[k])) for i, k in enumerate((0, 3, 1, 2))], "_sh_id long, _sh_text string")
+    sets = simhash._sets(slim, simhash._printed(slim, 5).selectExpr("key", "node", "0L AS root", "_sh_id AS least"), 5)
+    found = components.components(simhash._verified(sets, 0.8, heads=2, block=2)).collect()
+    assert len(found) == 4 and len({r.root for r in found}) == 1

@@ -78,10 +78,11 @@ def blocks_of(html: str) -> list[Block]:
     root = node = Node(0, "", None, False, True)
     out: list[Block] = []
     parts: list[str] = []
-    state = [0, 0]  # characters inside links; depth of open links
+    linked, link = 0, None  # characters inside links; the open link
     count, at, n = 0, 0, len(html)
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
@@ -90,14 +91,19 @@ def blocks_of(html: str) -> list[Block]:
                 while not owner.block:
                     owner = owner.parent
                 owner.holds = True
-                out.append(Block(Node(-1, "", node, False, False) if node.noise and not owner.noise else owner, text, state[0]))
-        state[0] = 0
+                out.append(Block(Node(-1, "", node, False, False) if node.noise and not owner.noise else owner, text, linked))
+        linked = 0
 
     def add(text: str) -> None:
+        nonlocal linked, link
         text = entities.unescape(text) if "&" in text else text
         parts.append(text)
-        if state[1]:
-            state[0] += len(text)
+        if link:
+            up = node
+            while up is not None and up is not link:
+                up = up.parent
+            link = up  # None where the end of a block has closed it
+            linked += len(text) if link else 0
 
     while at < n:
         m = _TAG.search(html, at)
@@ -115,7 +121,7 @@ def blocks_of(html: str) -> list[Block]:
         name = name.lower()
         if m["end"]:
             if name == "a":
-                state[1] = max(0, state[1] - 1)
+                link = None
             up = node
             while up is not root and up.name != name:
                 if up.name in _FENCE and name not in _BLOCK:
@@ -156,8 +162,6 @@ def blocks_of(html: str) -> list[Block]:
                     up = up.parent
         if name in _VOID:
             continue
-        if name == "a":
-            state[1] += 1
         inside, up = False, node
         while up is not None and not inside:
             inside, up = up.name in ("article", "main"), up.parent
@@ -166,6 +170,8 @@ def blocks_of(html: str) -> list[Block]:
             flush()
         count += 1
         node = Node(count, name, node, noise, block)
+        if name == "a":  # an anchor without a target is no link; each one ends the one before
+            link = node if any(x[1].lower() == "href" for x in _ATTRIBUTE.finditer(m["rest"])) else None
         if node.name in _HEADINGS and node.parent and node.parent.name == "header" and inside:
             node.noise = node.parent.noise
     flush()
@@ -203,6 +209,9 @@ def main_text(html: str | None) -> str:
     blocks = [b for b in blocks_of(html) if not b.node.noise]
     if not blocks:
         return ""
+    if all(b.links >= len(b.text) for b in blocks):  # an end tag is missing, or there is nothing but links: they tell nothing
+        for b in blocks:
+            b.links = 0
     paths = content_paths(blocks)
     weight: dict[int, float] = {}
     total, chosen = 0.0, []

@@ -201,6 +201,12 @@ def test_extraction_of_odd_pages(page, text):
     assert " ".join(extraction.main_text(page).split()) == " ".join(text.split()) or page.startswith("<<<")
 
 
+@pytest.mark.parametrize("start", ["<a name=top>", "<a id='x'/>", "<ul><li><a href=/1>One<li><a href=/2>Two</ul>", "<a href=/>Home"])
+def test_links_without_end_tag_do_not_swallow_the_article(start):
+    body = "".join(f"<p>Paragraph {i}, with a clause, and an end of its own; it goes on for a while.</p>" for i in range(6))
+    assert extraction.main_text(f"<body>{start}<article><h1>Title</h1>{body}</article></body>").count("Paragraph") == 6
+
+
 def test_extraction_report(spark):
     pages = spark.createDataFrame([(1, "u", f"<article>{BODY}</article>"), (2, None, None)], "page_id long, url string, html string")
     assert sorted(map(tuple, extraction.report(pages).collect())) == [(1, "u", WANT, len(WANT)), (2, None, "", 0)]

@@ -71,9 +71,10 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
+        # a text that may hold an added token (in any case, as it may be matched after normalisation) goes to the tokenizer whole
+        self.added = [t["content"].lower() for t in spec["added_tokens"]]
         parts = lambda x, k: [p["type"] for p in (x or {}).get(k, [x or {"type": ""}])]
         self.wordwise = parts(spec["normalizer"], "normalizers") == _WORDWISE["normalizer"] and parts(spec["pre_tokenizer"], "pretokenizers") == _WORDWISE["pre"] and not spec["pre_tokenizer"]["pretokenizers"][1]["use_regex"]
 
@@ -90,7 +91,10 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if not self.wordwise or _PLAIN.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, _WORD.findall(text.lower())))
+        low = text.lower()
+        if any(t in low for t in self.added):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, _WORD.findall(low)))
 
 
 def default_vocabulary() -> str:
@@ -258,8 +262,10 @@ def _solve(items: DataFrame, *, round_no: int, blocks: int, capacity: int, islan
             bins[own], fills[own] = b, best.fills[b]
         return out.assign(bin=bins, fill=fills)
 
-    alone = spread.groupBy("block", "island").applyInPandas(island, lone)
-    return alone.groupBy("block").applyInPandas(migrate, done)
+    # rows are tiny, so their bytes say nothing of the work: the number of partitions is given, lest a few tasks get all blocks
+    least = partitions(items.sparkSession)
+    alone = spread.repartition(max(1, min(blocks * islands, 4 * least)), "block", "island").groupBy("block", "island").applyInPandas(island, lone)
+    return alone.repartition(max(1, min(blocks, 4 * least)), "block").groupBy("block").applyInPandas(migrate, done)
 
 
 def pack(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None, block_items: int = 3000, islands: int = 2, population: int = 5, generations: int = 12, rounds: int = 4, well_filled: float = 0.999) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only in local mode, where all is one machine, a temporary
+    one takes its place if none is set; a cluster without one raises an error, as each executor would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="loamstack-shared-")
         atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
@@ -82,11 +85,33 @@ def fold_bucket(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def low_hash(column: str, seed: int, most: int, rows: Column | int) -> Column:
-    """Whether a row can be among the first ``most`` of ``rows`` in hash order: lets about twice as many and a thousand through, all of
-    a small table. A sample in hash order that is filtered by it costs the same shuffle on any number of tasks."""
-    share = F.lit(2.0 * most + 1000) / rows
-    return F.xxhash64(F.lit(seed), column) / F.lit(2.0**64) + 0.5 < share
+def free_name(df: DataFrame, *names: str) -> None:
+    """Fails early where a column that is to be added is there already: its values would be lost or mixed up."""
+    if taken := [n for n in names if n.lower() in {c.lower() for c in df.columns}]:
+        raise ValueError(f"columns {taken} are there already; rename them, or choose another name for the result")
+
+
+def low_hash(key: Column, most: int, rows: Column | int) -> Column:
+    """Whether a row can be among the first ``most`` of ``rows`` in the order of the hash ``key``: lets about twice as many and a
+    thousand through, all of a small table, so that a sample costs the same shuffle on any number of tasks."""
+    return key / F.lit(2.0**64) + 0.5 < F.lit(2.0 * most + 1000) / rows
+
+
+def key_sample(rows: DataFrame, *, key: str, by: str, most: int) -> DataFrame:
+    """(by, key): for each value of ``by`` its first ``most`` distinct values of the hash ``key``, ascending.
+
+    Repeated keys count once and collapse before the shuffle, so rows that are all alike make no large group. Where that many
+    repeat that too few keys pass ``low_hash``, the values of ``by`` concerned are drawn again from all their keys. A row per
+    value of ``by`` is counted on the driver's side and broadcast."""
+    sizes = written(rows.groupBy(by).agg(F.count("*").alias("_n")), "sizes")
+    order = Window.partitionBy(by).orderBy(key)
+    first = lambda df: df.select(by, key).distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select(by, key)
+    drawn = written(first(rows.join(F.broadcast(sizes), by).filter(low_hash(F.col(key), most, F.col("_n")))), "drawn")
+    got = drawn.groupBy(by).agg(F.count("*").alias("_got"))
+    short = sizes.join(got, by, "left").filter(F.coalesce("_got", F.lit(0)) < F.least("_n", F.lit(most))).filter(F.col("_n") > 2 * most + 1000).select(by)
+    if not short.head(1):
+        return drawn
+    return drawn.join(F.broadcast(short), by, "left_anti").unionByName(first(rows.join(F.broadcast(short), by, "left_semi")))
 
 
 class Powers:

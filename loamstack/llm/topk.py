@@ -116,8 +116,13 @@ def top_k(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_
     if not shape.n:
         return spark.createDataFrame([], kind)
     dim = max(1, shape.dim)
-    # a bounded sample in hash order, whatever the size of the table
-    drawn = data.filter(low_hash("id", 29, sample_rows, shape.n)).orderBy(F.xxhash64(F.lit(29), "id"), "id").limit(sample_rows).collect()
+    # a bounded sample in the order of a hash of whole rows, whatever the size of the table; where that many rows are alike that
+    # hardly any passes the filter, all rows are ordered
+    key = F.xxhash64(F.lit(29), "id", "vec")
+    first = lambda rows: rows.orderBy(key, "id").limit(sample_rows).collect()
+    drawn = first(data.filter(low_hash(key, sample_rows, shape.n)))
+    if len(drawn) < min(sample_rows, shape.n):
+        drawn = first(data)
     count = int(min(1024, max(4, shape.n // 4096)))
     pivots = Pivots(np.array([r.id for r in drawn], np.int64), matrix((bytes(r.vec) for r in drawn), dim), count)
     shared = spark.sparkContext.broadcast(pivots)
@@ -127,13 +132,14 @@ def top_k(table: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_
         for t in in_batches(batches, 16 << 20):
             m = matrix(t.column(2).to_pylist(), dim).astype(np.float64)
             cell, far = p.nearest(m)
-            yield pa.record_batch({"id": t.column(0).combine_chunks(), "vec": t.column(2).combine_chunks(), "cell": pa.array(cell.astype(np.int32)), "far": pa.array(far), "norm": pa.array(np.sqrt((m**2).sum(axis=1)))})
+            yield pa.record_batch({"id": t.column(0).combine_chunks(), "vec": t.column(2).combine_chunks(), "cell": pa.array(cell.astype(np.int32)), "far": pa.array(far), "norm": pa.array(np.sqrt((m**2).sum(axis=1))), "salt": pa.array(np.arange(len(m)))})
 
-    cells = written(data.mapInArrow(assign, "id long, vec binary, cell int, far double, norm double"), "cells")
+    cells = written(data.mapInArrow(assign, "id long, vec binary, cell int, far double, norm double, salt long"), "cells")
     summary = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect()  # a row per pivot
     split = {r.cell: -(-r.n // block_rows) for r in summary}
     splits = F.element_at(F.create_map(*[F.lit(x) for r in summary for x in (r.cell, split[r.cell])]), F.col("cell"))
-    blocks = cells.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), splits).cast("int")).select("id", "vec", "cell", "part")
+    # rows are dealt by place, not by id: rows that share one id, or are all alike, fill no block
+    blocks = cells.withColumn("part", F.pmod(F.xxhash64("salt", F.lit(5)), splits).cast("int")).select("id", "vec", "cell", "part")
     # of rows that repeat a query's id the least vector asks, so that every run asks alike
     asked = cells.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("vec", "cell")).alias("v")).select("id", "v.*")
     # queries of one cell lie together: small cells share a block, a cell with more queries than a block holds has several

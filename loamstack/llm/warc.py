@@ -1,7 +1,7 @@
 """WARC archives, written and read index first.
 
 Writing. Each task writes one archive of gzip members (one per record) and one index row per record: archive, offset, length,
-URL, digest, type. Payload digests decide types before any payload moves: of records with equal payloads that with the greatest
+URL, digest, type. Payload digests decide types on ids and digests alone: of records with equal payloads that with the greatest
 id is a response, the others are revisits that carry its headers but not its payload.
 
 Reading. The index comes first: the wanted records are chosen by joining or filtering index rows; the chosen rows of an archive
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, in_batches, require, written
+from ._shared import fresh_path, in_batches, partitions, require, written
 
 INDEX = "page_id long, archive string, offset long, length long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 _INDEX_ARROW = pa.schema([("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -78,21 +78,31 @@ def parse(member: bytes) -> dict[str, object]:
     return head | {"payload": payload, "full_bytes": sizes[0] if sizes else len(payload)}
 
 
-def with_types(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
-    """``pages`` with ``_w_to`` (the response's id) and ``_w_again`` (whether the row is a revisit)."""
-    keyed = pages.withColumn("_w_sha", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+def with_types(pages: DataFrame, *, least_bytes: int = 0, most_groups: int = 500_000) -> DataFrame:
+    """``pages`` with ``_w_to`` (the response's id) and ``_w_again`` (whether the row is a revisit).
+
+    Groups of equal payloads are found on digests and ids alone. The largest ``most_groups`` of them are broadcast, so no payload
+    moves for them and a payload that a third of all pages share is no large task; only if there are more groups, the rows
+    of the other ones are joined by a shuffle."""
+    keyed = pages.withColumn("_w_sha", F.unhex(F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))))
     size = F.octet_length(F.coalesce(F.col("html"), F.lit("")))
-    # only digests and ids are grouped; of these only the groups of two and more rows are joined
-    groups = keyed.filter(size >= least_bytes).groupBy(F.col("_w_sha").alias("_w_key")).agg(F.max("page_id").alias("_w_to"), F.count("*").alias("_w_n")).filter("_w_n > 1 AND _w_to IS NOT NULL").drop("_w_n")
-    joined = keyed.join(groups, (F.col("_w_sha") == F.col("_w_key")) & (size >= least_bytes), "left")
+    groups = keyed.filter(size >= least_bytes).groupBy(F.col("_w_sha").alias("_w_key")).agg(F.max("page_id").alias("_w_id"), F.count("*").alias("_w_n")).filter("_w_n > 1 AND _w_id IS NOT NULL")
+    groups = written(groups, "payloads")
+    large = groups if (few := groups.count() <= most_groups) else written(groups.orderBy(F.desc("_w_n"), "_w_key").limit(most_groups), "payloads")
+    to = lambda df, name: df.select("_w_key", F.col("_w_id").alias(name))
+    found = keyed.join(F.broadcast(to(large, "_w_to")), (F.col("_w_sha") == F.col("_w_key")) & (size >= least_bytes), "left").drop("_w_key")
+    if not few:
+        small = to(groups.join(F.broadcast(large.select("_w_key")), "_w_key", "left_anti"), "_w_small")
+        rest = found.filter("_w_to IS NULL").join(small, (F.col("_w_sha") == F.col("_w_key")) & (size >= least_bytes), "left")
+        found = found.filter("_w_to IS NOT NULL").unionByName(rest.withColumn("_w_to", F.col("_w_small")).drop("_w_key", "_w_small"))
     again = F.col("_w_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_w_to"))
-    return joined.withColumn("_w_again", again).withColumn("_w_to", F.when(again, F.col("_w_to"))).drop("_w_sha", "_w_key")
+    return found.withColumn("_w_again", again).withColumn("_w_to", F.when(again, F.col("_w_to"))).drop("_w_sha")
 
 
-def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, most_groups: int = 500_000) -> DataFrame:
     """Writes the archives of ``pages`` (page_id, url, html) into ``folder``; returns the index, itself a written table."""
     require(pages)
-    typed = with_types(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), least_bytes=least_bytes)
+    typed = with_types(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), least_bytes=least_bytes, most_groups=most_groups)
 
     def write(batches) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -134,10 +144,13 @@ def runs(chosen: list[tuple[int, int]], gap: int, most: int) -> list[tuple[int,
     return out
 
 
-def read_records(index: DataFrame, folder: str, *, gap: int = 64 << 10, most: int = 8 << 20, segment: int = 32 << 20, payloads: bool = True) -> DataFrame:
+def read_records(index: DataFrame, folder: str, *, gap: int = 64 << 10, most: int = 8 << 20, segment: int = 16 << 20, payloads: bool = True) -> DataFrame:
     """The records of the chosen ``index`` rows. A task gets segments of archives, sorted by offset, and reads each run at once."""
+    # index rows are tiny, so their own bytes say nothing of the work: the chosen records' bytes give the number of tasks
+    chosen = index.select(F.sum("length")).first()[0] or 0
+    tasks = partitions(index.sparkSession, 1 + int(chosen // segment))
     cut = index.select("archive", "offset", "length").withColumn("segment", F.floor(F.col("offset") / segment))
-    dealt = cut.repartition("archive", "segment").sortWithinPartitions("archive", "offset")
+    dealt = cut.repartition(tasks, "archive", "segment").sortWithinPartitions("archive", "offset")
 
     def read(batches) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

@@ -171,6 +171,22 @@ def test_warc_round_trip(spark):
     assert warc.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_types_by_broadcast_and_by_shuffle(spark):
+    rows = [(i % 40 if i % 7 else None, "u", f"page {i % 11}" if i % 5 else None) for i in range(120)] + [(3, "u", "single")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    best = {}
+    for i, _, h in rows:
+        if i is not None:
+            best[h or ""] = max(i, best.get(h or "", i))
+    count = Counter(h or "" for _, _, h in rows)
+    want = sorted((repr(i), h or "", count[h or ""] > 1 and i != best[h or ""], best[h or ""] if count[h or ""] > 1 and i != best[h or ""] else None) for i, _, h in rows)
+    for most in (500_000, 3, 1):
+        got = warc.with_types(pages, most_groups=most).collect()
+        assert sorted((repr(r.page_id), r.html or "", r["_w_again"], r["_w_to"]) for r in got) == want
+    index = warc.write_archives(pages, folder := fresh_path(spark, "warc-test"))
+    assert warc.read_records(index, folder).count() == 121 and len(index.collect()) == 121
+
+
 def test_warc_selected_records(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * i) for i in range(50)], "page_id long, url string, html string")
     folder = fresh_path(spark, "warc-test")

@@ -7,16 +7,16 @@ verified against the ids themselves, so that a hash collision never counts.
 
 Defined results. Null text: no words, no hit. A null or wordless test item gives no window. Null item ids are left out of
 item lists. Repeated rows are scanned each on its own. An empty table gives an empty result; an empty test set hits nothing.
-Extra columns of the training table pass through untouched; the added columns have a prefix of their own.
+Extra columns of the training table pass through untouched; a table that has columns of the results' names is refused.
 
-Size. The test set is broadcast in slices of at most ``slice_bytes`` of text: one slice is the usual case, and a larger test
-set takes one scan per slice, whose spans are then merged per document.
+Size. The test set is broadcast in slices of at most ``slice_bytes`` of text, each of which becomes flat arrays of about eight times
+its size (and an entry per distinct word). One slice is the usual case. A larger test set takes one scan per slice; what a scan
+finds is written to the shared folder, so that a task holds one slice at a time, and the spans are merged per document.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Powers, in_batches, require, rolling
+from ._shared import Powers, drop_written, free_name, in_batches, require, rolling, written
 
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Appended columns.
@@ -37,29 +37,46 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class NgramSet:
-    """The windows of some test items, by width: sorted rolling hashes, and the exact windows with their items."""
+    """The windows of some test items in flat arrays: per width the distinct windows' hashes (sorted), one place of each in the
+    items' words, and the items that hold it."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], width: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.exact: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.names: list[str | None] = []
-        for item, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
-            self.names.append(None if item is None else str(item))
-            k = min(width, len(ids))
-            for i in range(len(ids) - k + 1 if k else 0):
-                found = self.exact[k][ids[i : i + k].tobytes()]
-                if not found or found[-1] != len(self.names) - 1:
-                    found.append(len(self.names) - 1)
-        self.exact = {k: dict(x) for k, x in self.exact.items()}
-        powers = Powers()
-        self.hashes = {k: np.unique(np.concatenate([rolling(np.frombuffer(x, np.int32).astype(np.uint64), k, powers) for x in found])) for k, found in self.exact.items()}
-
-    def scan(self, words: list[bytes], powers: Powers) -> tuple[np.ndarray, set[int]]:
+        self.names = [None if item is None else str(item) for item, _ in items]
+        words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in items]
+        self.flat = np.concatenate([np.empty(0, np.int32), *words])
+        sizes = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(sizes) - sizes
+        self.widths: dict[int, tuple[np.ndarray, ...]] = {}
+        for k in sorted({min(width, n) for n in sizes.tolist()} - {0}):
+            own = np.flatnonzero(np.minimum(sizes, width) == k)
+            n = sizes[own] - k + 1
+            item = np.repeat(own, n)
+            start = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            self.widths[k] = self._grouped(k, item.astype(np.int32), start)
+
+    def _grouped(self, k: int, item: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(hashes, a start of each, base of the hash, first of each window's items, items)."""
+        base = Powers().base
+        while True:
+            h = rolling(self.flat.astype(np.uint64), k, Powers(base))[start]
+            order = np.lexsort((item, h))
+            new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+            run, heads = np.cumsum(new) - 1, start[order[new]]
+            same = np.ones(len(order), bool)
+            for j in range(k):  # windows of one hash must be equal; else another base tells them apart
+                same &= self.flat[start[order] + j] == self.flat[heads[run] + j]
+            if same.all():
+                break
+            base += 2
+        once = new | np.concatenate([[True], item[order[1:]] != item[order[:-1]]])
+        return h[order[new]], heads, base, np.searchsorted(run[once], np.arange(len(heads) + 1)).astype(np.int32), item[order[once]]
+
+    def scan(self, words: list[bytes], powers: dict[int, Powers]) -> tuple[np.ndarray, set[int]]:
         """Which words are hit, and the items found."""
         n = len(words)
         hit, items = np.zeros(n, bool), set()
-        if not n or not self.exact:
+        if not n or not self.widths:
             return hit, items
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, n)
         if not ids.any():
@@ -67,21 +84,20 @@ class NgramSet:
         known = np.zeros(n + 1, np.int64)
         np.cumsum(ids != 0, out=known[1:])
         codes = None
-        for k, exact in self.exact.items():
+        for k, (hashes, heads, base, first, owners) in self.widths.items():
             if n < k:
                 continue
             starts = np.flatnonzero(known[k:] - known[:-k] == k)
             if not len(starts):
                 continue
-            if len(starts) > 64:  # few windows are looked up at once
-                codes = ids.astype(np.uint64) if codes is None else codes
-                h, wanted = rolling(codes, k, powers)[starts], self.hashes[k]
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                starts = starts[wanted[at] == h]
-            for i in starts.tolist():
-                if found := exact.get(ids[i : i + k].tobytes()):
+            codes = ids.astype(np.uint64) if codes is None else codes
+            h = rolling(codes, k, powers.setdefault(base, Powers(base)))[starts]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            found = np.flatnonzero(hashes[at] == h)
+            for i, w in zip(starts[found].tolist(), at[found].tolist(), strict=True):
+                if (ids[i : i + k] == self.flat[heads[w] : heads[w] + k]).all():
                     hit[i : i + k] = True
-                    items.update(found)
+                    items.update(owners[first[w] : first[w + 1]].tolist())
         return hit, items
 
 
@@ -99,17 +115,26 @@ def _slices(benchmark: DataFrame, item: str, text: str, slice_bytes: int):
         yield held
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13, slice_bytes: int = 32 << 20, clean: bool = False) -> DataFrame:
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13, slice_bytes: int = 12 << 20, clean: bool = False) -> DataFrame:
     """``docs`` with ``_dc_n_words``, ``_dc_n_hit``, ``_dc_items`` (sorted ids as strings) and ``_dc_spans`` (hit [start, end)
     word spans as int pairs); with ``clean``, also ``_dc_clean``: the text whose hit words are cut out (unchanged if none is)."""
     require(docs, **{text: T.StringType})
-    context = docs.sparkSession.sparkContext
-    sets = [context.broadcast(NgramSet(held, width)) for held in _slices(benchmark, item, item_text, slice_bytes)] or [context.broadcast(NgramSet([], width))]
-    names, out = [f"{PREFIX}{n}" for n in range(len(sets))], docs
-    for shared, name in zip(sets[:-1], names[:-1], strict=True):
-        out = out.mapInArrow(_each(_scanner(shared, out.columns.index(text), name)), T.StructType([*out.schema.fields, _found_field(name)]))
+    context, out, names, last = docs.sparkSession.sparkContext, docs, [], None
+    free_name(docs, *(f"{PREFIX}{n}" for n in ("n_words", "n_hit", "items", "spans", "clean", "0")))
+    for held in _slices(benchmark, item, item_text, slice_bytes):
+        if last is not None:
+            names.append(f"{PREFIX}{len(names)}")
+            step = _scanner(last, out.columns.index(text), names[-1])
+            found = written(out.mapInArrow(_each(step), T.StructType([*out.schema.fields, _found_field(names[-1])])), "scanned")
+            if len(names) > 1:
+                drop_written(out)
+            out = found
+            last.destroy()  # what it found is written
+        last = context.broadcast(NgramSet(held, width))
+    last = last or context.broadcast(NgramSet([], width))
+    names.append(f"{PREFIX}{len(names)}")
     # the last scan and the merge are one step: a task has one Python worker
-    scan, (merge, schema) = _scanner(sets[-1], out.columns.index(text), names[-1]), _merger(docs.schema, names, text, clean)
+    scan, (merge, schema) = _scanner(last, out.columns.index(text), names[-1]), _merger(docs.schema, names, text, clean)
     return out.mapInArrow(_each(lambda table: merge(scan(table))), schema)
 
 
@@ -130,7 +155,7 @@ def _scanner(shared, at: int, name: str):
     kind = pa.struct([("n", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
     def scan(table: pa.Table) -> pa.Table:
-        grams, powers, found = shared.value, Powers(), []
+        grams, powers, found = shared.value, {}, []
         for raw in table.column(at).cast(pa.binary()).to_pylist():
             hit, items = grams.scan(words_of(raw), powers)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))) if items else ()

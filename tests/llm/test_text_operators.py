@@ -59,6 +59,20 @@ def test_decontamination_in_slices_and_empty(spark, corpus, items):
     assert decontaminate.report(spark.createDataFrame([], DOCS), bench).count() == 0
 
 
+def test_test_sets_are_held_in_little_memory():
+    import pickle
+
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i}" for i in range(20_000)])
+    items = [(i, " ".join(rng.choice(words, 200)).encode()) for i in range(3000)]
+    size = sum(len(t) for _, t in items)
+    held = decontaminate.NgramSet(items, 13)
+    assert len(pickle.dumps(held)) < 8 * size
+    at = np.array([w.encode() for w in items[7][1].decode().split()])
+    hit, found = held.scan([b"x", *at[10:40].tolist(), b"y"], {})
+    assert hit.tolist() == [False] + [True] * 30 + [False] and found == {7}
+
+
 def test_clean_text_loses_the_span_only(spark):
     bench = spark.createDataFrame([(1, " ".join(f"k{i}" for i in range(13)))], "item_id long, text string")
     text = "Before, this: " + " ".join(f"K{i}" for i in range(13)) + ". After!"

@@ -68,7 +68,8 @@ t AS (SELECT {_crc_table()}::BIGINT[] AS crc),
 b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT % {SLOTS} AS vslot FROM documents),
 c AS (SELECT doc_id, n, vslot, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a >> 8, t.crc[CAST((xor(a, x) & 255) + 1 AS INT)]))) AS text_crc32 FROM b, t)
 SELECT doc_id, CAST(n + 16 AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY vslot, doc_id, text_crc32) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard
+  row_number() OVER (PARTITION BY shard ORDER BY vslot, doc_id, text_crc32) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard,
+  CAST(sum(n + 16) OVER (PARTITION BY shard) AS BIGINT) AS shard_bytes
 FROM c JOIN m USING (vslot)
 """
 

@@ -115,6 +115,24 @@ def test_maps_move_slots_to_the_new_shard_only():
     assert max(load(after)) - min(load(after)) <= max(load(before)) - min(load(before))
 
 
+def test_stored_maps_are_edited_by_version(spark):
+    docs = spark.createDataFrame([(i, "x" * (2000 if i % 97 == 0 else 5)) for i in range(3000)], DOCS)
+    store = sharding.MapStore(spark, fresh_path(spark, "map-test"), 64)
+    one, two = store.start(5), store.grow(5)
+    load = sharding.slot_bytes(docs, slots=64)
+    three = store.rebalance(load, 6)
+    assert (one, two, three) == (1, 2, 3) and store.owners(1) == sharding.first_map(5, 64) and store.owners(2) == sharding.first_map(6, 64)
+    edits = Counter(r.version for r in store.edits().collect())
+    assert edits[1] == 64 and edits[2] == sum(x == 5 for x in store.owners(2)) and edits[3] == sum(a != b for a, b in zip(store.owners(2), store.owners(3), strict=True)) > 0
+    size = {r.vslot: r.bytes for r in load.collect()}
+    assert sum(size.values()) == sum(len("x" * (2000 if i % 97 == 0 else 5)) + 16 for i in range(3000))
+    held = lambda v: [sum(size.get(k, 0) for k, s in enumerate(store.owners(v)) if s == n) for n in range(6)]
+    assert max(held(3)) - min(held(3)) < max(held(2)) - min(held(2))
+    assert {r.vslot: r.bytes for r in store.edits().filter("version = 3").collect()}.items() <= size.items()
+    again = store.rebalance(load, 6, tolerance=10.0)  # nothing to move
+    assert store.owners(again) == store.owners(3)
+
+
 # --- top-k -------------------------------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,8 @@ More rows take more bits per segment: three segments of 21 bits (4096 anchors ea
 segment) up to ``two_from`` distinct fingerprints, then two of 28 bits (65536 anchors each). Both find every pair.
 
 An anchor emits no pairs, but one edge per fingerprint to the head of its local group; a star-contraction turns the edges
-into components. Residents are compared in blocks, so a group of thousands of near copies is no memory problem.
+into components. The residents of a full anchor are dealt to parts of bounded size by their hash, and its visitors (and the other
+parts' residents) go to each part, so thousands of near copies with one home are several tasks.
 
 ``drop_near_duplicates`` serves filtering by similarity: bands of min-hashes of the sets of shingles find the candidates, the whole
 sets decide.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import in_batches, mixed, partitions, require, written
+from ._shared import free_name, in_batches, mixed, partitions, require, written
 from .components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -109,6 +110,10 @@ def _homes(values: np.ndarray, blocks: int) -> np.ndarray:
     return out
 
 
+#: Names of anchors, of all segments: at most 3 * 16**3 or 2 * 16**4.
+_ANCHOR_BITS = 17
+
+
 def segments(count: int) -> list[tuple[int, int]]:
     """(first bit, blocks of seven) of each segment: three of 21 or two of 28 bits; spare bits are only compared."""
     return [(0, 3), (21, 3), (42, 3)] if count == 3 else [(0, 4), (32, 4)]
@@ -176,7 +181,7 @@ def _local_edges(names: np.ndarray, resident: np.ndarray, near) -> list[tuple[in
     return edges
 
 
-def link_fingerprints(fps: DataFrame, *, distance: int = 4, two_from: int = 200_000_000, check: tuple[str, ...] = (), check_distance: int = 0, name: str = "fp") -> DataFrame:
+def link_fingerprints(fps: DataFrame, *, distance: int = 4, two_from: int = 200_000_000, check: tuple[str, ...] = (), check_distance: int = 0, name: str = "fp", most_residents: int = 4096) -> DataFrame:
     """Edges (u, v) over the distinct fingerprints of column ``fp``: their components are those of all links.
 
     With ``check``, further fingerprints (longs) travel along, and a link also needs them to differ in at most ``check_distance``
@@ -187,17 +192,38 @@ def link_fingerprints(fps: DataFrame, *, distance: int = 4, two_from: int = 200_
     limits = ((1, distance), (len(check), check_distance)) if check else ((1, distance),)
     named = carried.index(name)
 
+    def residents(batches):
+        total = np.zeros(1 << _ANCHOR_BITS, np.int64)
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for k, (first, blocks) in enumerate(parts):
+                total += np.bincount(_homes(((own >> np.uint64(first)) & np.uint64((1 << 7 * blocks) - 1)).astype(np.uint32), blocks).astype(np.int64) * count + k, minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.record_batch({"anchor": pa.array(some), "n": pa.array(total[some])})
+
+    full = fps.select("fp").mapInArrow(residents, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > most_residents).collect()  # the code has so many words only
+    split = {r.anchor: -(-r.n // most_residents) for r in full}
+
     def deal(batches):
+        pieces = np.ones(1 << _ANCHOR_BITS, np.int64)
+        pieces[list(split)] = list(split.values())
         for b in batches:
             own = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
             for s in range(0, len(own), 8192):
                 some = own[s : s + 8192]
                 for k, (first, blocks) in enumerate(parts):
                     row, anchor, home = _visits(some[:, 0].copy().view(np.uint64), first, blocks, threshold)
-                    yield pa.record_batch({"anchor": pa.array(anchor.astype(np.int32) * count + k, pa.int32()), "home": pa.array(home)} | {c: pa.array(some[row, i]) for i, c in enumerate(carried)})
+                    anchor = anchor.astype(np.int64) * count + k
+                    if split:
+                        times = pieces[anchor]
+                        piece = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                        row, anchor, home = np.repeat(row, times), np.repeat(anchor, times), np.repeat(home, times)
+                        home &= piece == (mixed(some[row, 0].view(np.uint64)) % pieces[anchor].astype(np.uint64)).astype(np.int64)
+                        anchor |= piece << _ANCHOR_BITS
+                    yield pa.record_batch({"anchor": pa.array(anchor), "home": pa.array(home)} | {c: pa.array(some[row, i]) for i, c in enumerate(carried)})
 
     n = partitions(fps.sparkSession)
-    kind = "anchor int, home boolean, " + ", ".join(f"{c} long" for c in carried)
+    kind = "anchor long, home boolean, " + ", ".join(f"{c} long" for c in carried)
     dealt = fps.select(*carried).mapInArrow(deal, kind).repartition(n, "anchor").sortWithinPartitions("anchor")
 
     def compare(batches):
@@ -414,6 +440,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str =
     equal); groups hang together by links, each checked on the whole sets. Candidates are texts that share a band of min-hashes.
     Rows are told apart by a key of their own: an id may be repeated, or stand for several texts, or be null (a null id stays only
     where its whole group has none). Extra columns pass through; an empty table stays empty."""
+    free_name(docs, "_sh_row")
     rows = written(docs.withColumn("_sh_row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its key
     slim = rows.select(F.col("_sh_row").alias("_sh_id"), F.col(text).alias("_sh_text"))
     printed = written(_printed(slim, shingle), "prints")

@@ -149,8 +149,8 @@ def test_simhash_equals_brute_force(spark, corpus):
     assert simhash.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
-@pytest.mark.parametrize("two_from", [0, 1 << 40])
-def test_links_of_planted_fingerprints(spark, two_from):
+@pytest.mark.parametrize(("two_from", "residents"), [(0, 4096), (1 << 40, 4096), (0, 3), (1 << 40, 3)])
+def test_links_of_planted_fingerprints(spark, two_from, residents):
     """Chains of fingerprints four bits apart, a dense group, and strangers; both sets of segments find all links."""
     rng = np.random.default_rng(3)
     fps = [int(x) for x in rng.integers(0, 1 << 63, 150)]
@@ -162,7 +162,7 @@ def test_links_of_planted_fingerprints(spark, two_from):
     fps += [fps[0] ^ (1 << a) ^ (1 << b) for a in range(0, 30, 2) for b in range(31, 60, 3)]
     fps = sorted(set(fps))
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    edges = simhash.link_fingerprints(spark.createDataFrame([(x,) for x in signed], "fp long"), two_from=two_from)
+    edges = simhash.link_fingerprints(spark.createDataFrame([(x,) for x in signed], "fp long"), two_from=two_from, most_residents=residents)
     roots = {r.node: r.root for r in components.components(edges).collect()}
     want = brute_components(signed, fps)
     assert [roots.get(x, x) for x in signed] == want

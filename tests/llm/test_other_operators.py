@@ -239,6 +239,53 @@ def test_links_without_end_tag_do_not_swallow_the_article(start):
     assert extraction.main_text(f"<body>{start}<article><h1>Title</h1>{body}</article></body>").count("Paragraph") == 6
 
 
+PROSE = "".join(f"<p>Paragraph {i}, with a clause, and an end of its own; it goes on for a while, and then it ends.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content with-sidebar", "no-sidebar", "page-with-nav", "search-results", "elementor-widget elementor-widget-text", "social-science", "sidebar", "widget"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>"])
+def test_names_do_not_take_the_article(name, inner):
+    page = f"<body><nav><a href=/>Home</a></nav><div class='{name}'>{inner.format('<h1>Title</h1>' + PROSE)}<div class=sidebar><p>Aside.</p></div></div><footer>(c) 2020, all rights.</footer></body>"
+    got = extraction.main_text(page)
+    assert got.count("Paragraph") == 5 and got.startswith("Title") and "Home" not in got and "rights" not in got and "Aside" not in got
+
+
+@pytest.mark.parametrize("page", ["<form id=f><div id=menu><a href=/>Home</a></div><article><h1>Title</h1>{}</article></form>", "<form id=f><h1>Title</h1>{}</form><footer>(c)</footer>", "<article><header class=entry-header><h1>Title</h1></header>{}</article>", "<div id=main><h1>Title</h1>{}</div><div id=comments><article class=comment><p>A long comment, by a reader; it has points, clauses, and all that an article has, too.</p><p>And again: a long comment, by a reader; it has points, clauses, and all that an article has.</p></article></div>", "<div><h1>Title</h1>{}</div><aside><article><p>A teaser of another article, with a clause, and an end of its own; it is shorter than this page's.</p></article></aside>"])
+def test_forms_headers_and_comments(page):
+    got = extraction.main_text(f"<body>{page.format(PROSE)}</body>")
+    assert got.startswith("Title") and got.count("Paragraph") == 5 and len(got.split("\n")) == 6
+
+
+def test_paths_select_the_content():
+    """Without any telling name or tag the ratios alone keep a menu, a link list and a copyright line out."""
+    menu = "<div>" + "".join(f"<p><a href=/{i}>Menu entry {i}</a></p>" for i in range(8)) + "</div>"
+    links = "<ul>" + "".join(f"<li><a href=/x{i}>Read this too {i}</a></li>" for i in range(5)) + "</ul>"
+    got = extraction.main_text(f"<body>{menu}<div><div><h2>Title</h2>{PROSE}{links}{PROSE}</div></div><table><tr><td>All rights reserved</td></tr></table></body>")
+    assert got.split("\n")[0] == "Title" and len(got.split("\n")) == 11
+    inside = extraction.main_text(f"<article><h2>Title</h2>{PROSE}<p><a href=/>One link</a></p>{PROSE}{links}</article>")
+    assert len(inside.split("\n")) == 12 and "One link" in inside
+
+
+@pytest.mark.parametrize("deep", ["<div>", "<span>", "<b><i>", "<p><div>", "<div class='x'><span>", "<ul><li>", "<x<", "<a href=x>", "</b>", "<table><tr><td>", "<i><div><b>"])
+def test_deep_pages_take_linear_time(deep):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        page = f"<body>{deep * n}<p>A text, at the end; it is found, however deep it lies, and it is long enough.</p>" + "</i></p>" * n
+        began = time.time()
+        text = extraction.main_text(page)
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1 and (deep == "<x<" or "it is found" in text)
+
+
+def test_extraction_refuses_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p>", "t")], "page_id long, html string, text string")
+    with pytest.raises(ValueError, match="text"):
+        extraction.extract(pages)
+    assert extraction.extract(pages, name="main").columns == ["page_id", "text", "main", "n_chars"]
+
+
 def test_extraction_report(spark):
     pages = spark.createDataFrame([(1, "u", f"<article>{BODY}</article>"), (2, None, None)], "page_id long, url string, html string")
     assert sorted(map(tuple, extraction.report(pages).collect())) == [(1, "u", WANT, len(WANT)), (2, None, "", 0)]

@@ -175,8 +175,7 @@ def test_components_of_long_chains(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_components_with_hubs(spark, monkeypatch):
-    monkeypatch.setattr(components, "_NEIGHBOURS", 3)
+def test_components_with_hubs(spark):
     edges = [(50, i) for i in range(100, 160)] + [(i, 50) for i in range(40)] + [(200, 201), (201, 202), (160, 50), (300, 160), (9, 10)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 200 if 200 <= i <= 202 else 0 for i in {x for e in edges for x in e}}

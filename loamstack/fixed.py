@@ -45,6 +45,24 @@ BLOCK_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol", "dl", "table"
 MEDIA_TAGS = ("img", "figure", "picture", "video", "audio", "iframe", "canvas", "object", "embed", "map")
 QUESTION_TAGS = ("h2", "h3", "h4", "h5", "h6", "summary", "button", "a", "span", "strong")
 FOLDING_CLASS = r"accordion|acordeon|collaps|panel|faq|pregunta|toggle"
+EMBEDDED_TAGS = ("iframe", "object", "embed", "canvas")
+#: Where the main content is looked for, in this order: tag, or attribute and value.
+MAIN_PLACES = (
+    ("tag", "main"),
+    ("role", "main"),
+    ("tag", "article"),
+    ("id", "content"),
+    ("id", "main-content"),
+    ("class", "region-content"),
+    ("class", "node__content"),
+    ("class", "field--name-body"),
+    ("id", "block-system-main"),
+)
+#: Where a page's trail is looked for, in this order, and the signs between its parts.
+TRAIL_PLACES = (("class", "breadcrumb"), ("aria-label", "breadcrumb"), ("class", "migas"), ("id", "breadcrumb"))
+TRAIL_SEPARATORS = (">", "/", "|", "»")
+#: Attributes of the meta elements that tell when a page was changed, in this order.
+DATE_SOURCES = (("property", "article:modified_time"), ("name", "last-modified"), ("itemprop", "dateModified"))
 CAPTCHA_MARKERS = ("g-recaptcha", "h-captcha", "hcaptcha", "recaptcha", "captcha")
 SERVER_ERROR_MARKERS = (
     "internal server error", "error 500", "503 service", "service unavailable",

@@ -144,12 +144,15 @@ def parents(grouped: DataFrame, index: DataFrame, *, sheet: str = "sheet", table
     name = F.col("denominacion_y_base_legal")
     record = index.join(joined, [sheet, "code"]).withColumn("calificacion", F.array_join(F.when(F.size(said) > 0, said).otherwise(plain), "; ")).withColumn("calification_flags", flags)
     rest = name
-    begins = F.lower(squeeze(name)).startswith(F.lower(squeeze("title")))
-    record = record.withColumn("_rest", F.when(begins, strip_edges(F.substring(squeeze(name), F.length(squeeze("title")) + 1, 1 << 30))).otherwise(rest))
+    # the title is taken off by its words, with any white space between them, so that the lines after it stay lines
+    words = F.transform(F.split(squeeze("title"), " "), lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}])", r"\\$1"))
+    title = F.concat(F.lit(r"(?iuU)\A\s*"), F.array_join(words, r"\s+"))
+    begins = F.regexp_like(name, title) & (F.coalesce("title", F.lit("")) != "")
+    record = record.withColumn("_rest", F.when(begins, strip_edges(F.regexp_replace(name, title, F.lit("")))).otherwise(rest))
     marker = F.col("_rest").rlike(_LEGAL)
     by_marker = F.split(F.col("_rest"), _LEGAL, 2)
     by_law = F.split(F.col("_rest"), f"(?={_LAW})", 2)
-    record = record.withColumn("title_detected", F.when(begins, F.substring(squeeze(name), 1, F.length(squeeze("title")))).otherwise(F.lit("")))
+    record = record.withColumn("title_detected", F.when(begins, squeeze(F.regexp_substr(name, title))).otherwise(F.lit("")))
     record = record.withColumn("fundamento_legal", F.when(marker, strip_edges(F.try_element_at(by_marker, F.lit(2)))).when(F.col("_rest").rlike(_LAW), F.substring(F.col("_rest"), F.length(F.try_element_at(by_law, F.lit(1))) + 1, 1 << 30)).otherwise(F.lit("")))
     record = record.withColumn("denominacion_adicional", F.when(marker, strip_edges(F.try_element_at(by_marker, F.lit(1)))).when(F.col("_rest").rlike(_LAW), strip_edges(F.try_element_at(by_law, F.lit(1)))).otherwise(F.col("_rest")))
     everything = F.concat_ws("\n", *(F.col(c) for c in COLUMNS[1:]))

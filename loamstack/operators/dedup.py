@@ -14,9 +14,10 @@ from .urls import canonical_url
 
 
 def first_wins(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """``rows`` whose key comes for the first time."""
+    """``rows`` whose key comes for the first time; rows without a key all stay, and are kept out of the window."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(seq))
-    return rows.withColumn("_rank", rank).filter((F.col("_rank") == 1) | F.col(key).isNull()).drop("_rank")
+    first = rows.filter(F.col(key).isNotNull()).withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return first.unionByName(rows.filter(F.col(key).isNull()))
 
 
 def by_text(rows: DataFrame, *, text: str = "text", id_col: str = "doc_id", seq: str | None = None) -> DataFrame:

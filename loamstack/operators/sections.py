@@ -9,7 +9,7 @@ import re
 import unicodedata
 
 from ..fixed import KNOWN_HEADINGS, PLAIN_CODE, SUB_LINE
-from .chunking import pack_units, tokens
+from .chunking import pack_paragraphs, tokens
 
 _DOTTED = re.compile(SUB_LINE, re.I | re.S)
 _SIGN = re.compile(r"N\.?°")
@@ -85,5 +85,5 @@ def packed_sections(body: str, subs, head: str, semantic: bool, target: int, mos
         limit = max(40, most - used - 4)
         goal = max(30, min(limit, target - used - 4))
         units = [p for p in map(clean, re.split(r"\n\s*\n", text)) if p] if semantic else [text]
-        out += [{"code": sub[0], "title": sub[1], "text": x} for x in map(clean, pack_units(units or [text], goal, limit)) if x]
+        out += [{"code": sub[0], "title": sub[1], "text": x} for x in map(clean, pack_paragraphs(units or [text], target=goal, most=limit)) if x]
     return out

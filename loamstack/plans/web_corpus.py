@@ -50,7 +50,9 @@ def build(config: Config, decided: DataFrame, snapshot: DataFrame, *, max_pages:
     if max_pages is not None:  # a limit per source, counted before any dedup
         accepted = audit.capped(accepted, by="source", order="seq", most=max_pages)
     kept = snapshot.select(urls.canonical_url("url").alias("_u"), "html", fetch_error().alias("_why"))
-    kept = kept.groupBy("_u").agg(F.first("html").alias("html"), F.first("_why").alias("_why"))
+    # of several snapshots of a URL one without an error comes first, then the one of least hash: whole rows, alike in every run
+    order = F.struct(F.col("_why").isNotNull(), F.col("html").isNull(), F.xxhash64("html"), F.col("_why"))
+    kept = kept.groupBy("_u").agg(F.min_by(F.struct("html", "_why"), order).alias("_page")).select("_u", "_page.html", "_page._why")
     joined = accepted.join(kept, F.col("url") == F.col("_u"), "left").withColumn("reason", F.when(F.col("_u").isNull() | F.col("html").isNull() & F.col("_why").isNull(), "download_error").otherwise(F.col("_why")))
     # a URL counts as seen as soon as it has a page, even if that page is rejected later
     nth = F.row_number().over(Window.partitionBy("url", F.col("reason").isNull()).orderBy("seq"))

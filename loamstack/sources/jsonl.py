@@ -40,9 +40,9 @@ def read_lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def read_many(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
-    """All of the paths that exist, in one table."""
+    """All of the paths that exist, in one table; a bad line raises when read."""
     there = [p for p in paths if exists(spark, p)]
-    return spark.read.schema(schema).json(there) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(there) if there else spark.createDataFrame([], schema)
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

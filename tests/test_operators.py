@@ -111,7 +111,7 @@ def test_chunks_keep_pairs_lists_and_limits():
 @given(st.lists(st.text(alphabet="ab. ;A\n", max_size=80), max_size=8), st.integers(5, 30), st.integers(1, 20))
 def test_packs_lose_no_token_and_respect_the_limit(units, target, more):
     most = target + more
-    got = chunking.pack_units(units, target, most)
+    got = chunking.pack_paragraphs(units, target=target, most=most)
     assert "".join("".join(got).split()) == "".join("".join(units).split())
     assert all(chunking.tokens(x) <= most or len(x.split()) == 1 for x in got)
 
@@ -213,3 +213,18 @@ def test_groups_parents_and_chunks(rows):
     chunks = catalog.chunk_parents(catalog.parents(grouped, index)).collect()
     assert {c.id for c in chunks if c.code == "1"} >= {"proc_1_requisitos_001", "proc_1_fundamento_legal_001", "proc_1_resumen_administrativo_001"}
     assert all(c.approx_tokens <= 650 and c.page_content.endswith(c.raw_text) for c in chunks)
+
+
+def test_trails_dates_and_main_places():
+    read = lambda html: pages.parse(html)
+    assert pages.breadcrumb(read("<div id=breadcrumb>Z</div><ol aria-label=breadcrumb><li>A</li>&gt;<li>/&gt;</li>|<li>B</li></ol>")) == "A > /> > B"
+    assert pages.breadcrumb(read("<p class='x breadcrumb'> / </p><p class=migas>C</p>")) == "C"
+    assert pages.updated(read("<time datetime=1></time><meta itemprop=dateModified content=2><meta name=last-modified content=3>")) == "3" and pages.updated(read("<time datetime=1>")) == "1"
+    body = "x" * 300
+    assert pages.main_element(read(f"<body><article>short</article><div id=content>{body}</div><p class=region-content>{body}</p></body>")).attrs == {"id": "content"}
+
+
+def test_groups_are_folded_greedily():
+    assert chunking.folded([3, 3, 9, 1, 1], lambda x: x, 6) == [[3, 3], [9], [1, 1]]
+    assert chunking.folded([2, 2, 5, 1, 4], lambda x: x, 6, 4) == [[2, 2], [5], [1, 4]]
+    assert chunking.folded([], len, 6) == []

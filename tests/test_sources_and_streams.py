@@ -23,6 +23,9 @@ def test_jsonl(spark, tmp_path):
     assert len(e.value.lines) == 2
     assert jsonl.read_lenient(spark, str(tmp_path / "none"), SCHEMA).count() == 0
     assert jsonl.read_many(spark, [str(good), str(tmp_path / "none")], SCHEMA).count() == 2
+    (tmp_path / "bad.jsonl").write_text("not json\n")
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        jsonl.read_many(spark, [str(good), str(tmp_path / "bad.jsonl")], SCHEMA).collect()
     jsonl.write_jsonl(jsonl.read_strict(spark, str(good), SCHEMA), str(tmp_path / "out"))
     lines = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
     assert '{"id":"b"}' in lines

@@ -1,9 +1,10 @@
 """A training corpus from raw documents: five stages, each an operator of ``loamstack.llm`` on all that its predecessor kept.
 
 1. ``language_id`` - texts without a letter (null ones too) go, as the operator rejects them; all others stay unchanged.
-2. ``simhash_dedup`` - of each group of near duplicates the document with the least id stays. Two documents are linked if they
-   have 0.8 or more of their five-word shingles in common; fingerprints find the candidates, each link is checked on the whole
-   sets of shingles, and groups hang together by links.
+2. ``simhash_dedup`` - of each group of near duplicates the document with the least id stays. Two documents are linked if their
+   SimHash fingerprints differ in at most four bits, as in ``op8_simhash`` (the covering code finds every such pair), or if they have
+   0.8 or more of their five-word shingles in common (min-hashes find the candidates, the whole sets decide); groups hang together
+   by links of both kinds.
 3. ``substring_dedup`` - words under 35-word windows that start elsewhere too are cut; a document that loses all its words goes.
 4. ``decontaminate`` - documents of which a twentieth or more repeats benchmark passages go; from others the passages are cut.
 5. ``packing`` - what is left is tokenised and packed into sequences of 2048 tokens.

@@ -17,8 +17,8 @@ An anchor emits no pairs, but one edge per fingerprint to the head of its local
 into components. The residents of a full anchor are dealt to parts of bounded size by their hash, and its visitors (and the other
 parts' residents) go to each part, so thousands of near copies with one home are several tasks.
 
-``drop_near_duplicates`` serves filtering by similarity: bands of min-hashes of the sets of shingles find the candidates, the whole
-sets decide.
+``drop_near_duplicates`` leaves one row of each group of these links. As fingerprints tell few of the copies with many edits, texts
+whose sets of shingles are similar are linked too: bands of min-hashes of the sets find the candidates, the whole sets decide.
 
 Defined results. No words, or null text: fingerprint zero, linked like any other. Fewer words than a shingle has: the whole
 sequence is the single shingle. Repeated rows share their fingerprint. A null id never becomes a component id unless its
@@ -62,11 +62,14 @@ def _majority(packed: bytes, width: int) -> bytes:
     return np.packbits(2 * total > len(rows)).tobytes()
 
 
-def fingerprint(raw: bytes | None, shingle: int = 4) -> int:
-    words = raw.translate(_LOWER).split() if raw else []
+def _words_fingerprint(words: list[bytes], shingle: int) -> int:
     return int.from_bytes(_majority(_digests(words, shingle, xxhash.xxh64_digest), 8), "big") if words else 0
 
 
+def fingerprint(raw: bytes | None, shingle: int = 4) -> int:
+    return _words_fingerprint(raw.translate(_LOWER).split() if raw else [], shingle)
+
+
 def with_fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 4, name: str = "fp") -> DataFrame:
     """``docs`` without its text, with the fingerprint as a signed long."""
     require(docs, **{text: T.StringType})
@@ -282,8 +285,9 @@ _ROWS, _BANDS = 6, 32
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 31, _ROWS * _BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIXERS = np.random.default_rng(43).integers(0, 1 << 63, (_ROWS, _BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-#: What the search knows of a text: its set of shingles (digest, and a long of it), and the bands of its min-hashes (longs, end to end).
-_PRINTED = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("node", T.LongType()), T.StructField("bands", T.BinaryType())])
+#: What the search knows of a text: its set of shingles (digest, and a long of it), the bands of its min-hashes (longs, end to end), and
+#: its fingerprint (null if it has no word).
+_PRINTED = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("node", T.LongType()), T.StructField("bands", T.BinaryType()), T.StructField("fp", T.LongType())])
 
 
 def _bands(shingles: np.ndarray) -> bytes:
@@ -298,19 +302,20 @@ def _bands(shingles: np.ndarray) -> bytes:
     return mixed(sums + np.arange(_BANDS, dtype=np.uint64) * _MIXERS[0, 0]).tobytes()
 
 
-def _printed(slim: DataFrame, shingle: int) -> DataFrame:
-    """(_sh_id, key, node, bands) of (_sh_id, text)."""
+def _printed(slim: DataFrame, shingle: int, print_shingle: int = 4) -> DataFrame:
+    """(_sh_id, key, node, bands, fp) of (_sh_id, text)."""
 
     def scan(batches):
         for table in in_batches(batches, 8 << 20):
-            keys, bands = [], []
+            keys, bands, fps = [], [], []
             for raw in table.column(1).cast(pa.binary()).to_pylist():
                 words = raw.translate(_LOWER).split() if raw else []
                 own = _shingle_set(_digests(words, shingle, xxhash.xxh3_128_digest) if words else b"")
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 bands.append(_bands(own))
+                fps.append(_words_fingerprint(words, print_shingle))
             nodes = [int.from_bytes(k[:8], "big", signed=True) for k in keys]
-            yield pa.record_batch({"_sh_id": table.column(0).combine_chunks(), "key": pa.array(keys, pa.binary()), "node": pa.array(nodes, pa.int64()), "bands": pa.array(bands, pa.binary())})
+            yield pa.record_batch({"_sh_id": table.column(0).combine_chunks(), "key": pa.array(keys, pa.binary()), "node": pa.array(nodes, pa.int64()), "bands": pa.array(bands, pa.binary()), "fp": pa.array(np.array(fps, np.uint64).view(np.int64), mask=np.array([not x for x in bands], bool))})
 
     return slim.mapInArrow(scan, T.StructType([slim.schema["_sh_id"], *_PRINTED.fields]))
 
@@ -343,6 +348,17 @@ def link_bands(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(link, "u long, v long")
 
 
+def link_prints(printed: DataFrame, distance: int) -> DataFrame:
+    """Edges (u, v) over ``node``: texts whose fingerprints differ in at most ``distance`` bits hang together.
+
+    A text of each fingerprint stands for it in the search; the others that share it are tied to that one. Texts that differ only
+    in how often a shingle occurs have one node, and may have several fingerprints."""
+    marks = printed.filter("fp IS NOT NULL").select("node", "fp")
+    fps = written(marks.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "fps")
+    shared = marks.distinct().join(fps.filter("first <> last").select("fp", "first"), "fp").filter("node <> first")
+    return link_fingerprints(fps, distance=distance, name="first").unionByName(shared.select(F.col("node").alias("u"), F.col("first").alias("v")))
+
+
 def _sets(slim: DataFrame, family: DataFrame, shingle: int) -> DataFrame:
     """(root, key, node, least, set): the shingles of each text of a family (key, node, root, least)."""
     chosen = slim.join(family.withColumnRenamed("least", "_sh_id"), "_sh_id").select("_sh_id", slim.columns[1], "key", "node", "root")
@@ -433,17 +449,19 @@ def _verified(sets: DataFrame, similarity: float, *, heads: int = 32, most_heads
         heads = min(most_heads, 2 * heads)
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, print_shingle: int = 4, distance: int = 4) -> DataFrame:
     """``docs`` without the rows that are near copies: of each group one row stays, the one of the least id.
 
-    Two texts are linked if their sets of shingles have a Jaccard similarity of ``similarity`` or more (texts without a word are
-    equal); groups hang together by links, each checked on the whole sets. Candidates are texts that share a band of min-hashes.
+    Two texts are linked if their fingerprints (over ``print_shingle`` words, as in ``near_duplicates``) differ in at most ``distance``
+    bits, all such pairs being found; or if their sets of shingles have a Jaccard similarity of ``similarity`` or more, checked on the
+    whole sets of texts that share a band of min-hashes. Groups hang together by links of both kinds. Texts without a word are equal,
+    and linked to no others.
     Rows are told apart by a key of their own: an id may be repeated, or stand for several texts, or be null (a null id stays only
     where its whole group has none). Extra columns pass through; an empty table stays empty."""
     free_name(docs, "_sh_row")
     rows = written(docs.withColumn("_sh_row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its key
     slim = rows.select(F.col("_sh_row").alias("_sh_id"), F.col(text).alias("_sh_text"))
-    printed = written(_printed(slim, shingle), "prints")
+    printed = written(_printed(slim, shingle, print_shingle), "prints")
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.col("_sh_row").alias("row"))
     placed = printed.join(rows.select(F.col("_sh_row").alias("_sh_id"), place.alias("place")), "_sh_id")
     # texts of equal sets are one from here on; their bands are equal too
@@ -451,14 +469,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str =
     classes = classes.withColumn("least", F.col("place.row"))
     roots = components(link_bands(classes))
     family = classes.join(roots, "node").select("key", "node", "root", "least")
-    links = _verified(_sets(slim, family, shingle), similarity)
-    stays = classes.select("key", "node", "least", "n")
-    if links is None:
-        tied = stays.filter("n > 1").withColumn("stay", F.col("least"))
-    else:
-        groups = classes.select("node", "place").join(components(links), "node")
-        stay = groups.groupBy("root").agg(F.min("place").alias("stay"))
-        tied = stays.join(groups.join(stay, "root").select("node", F.col("stay.row").alias("stay")), "node", "left").withColumn("stay", F.coalesce("stay", "least")).filter((F.col("n") > 1) | (F.col("stay") != F.col("least")))
+    alike, links = _verified(_sets(slim, family, shingle), similarity), link_prints(printed, distance)
+    links = links if alike is None else links.unionByName(alike)
+    groups = classes.select("node", "place").join(components(links), "node")
+    stay = groups.groupBy("root").agg(F.min("place").alias("stay"))
+    tied = classes.select("key", "node", "least", "n").join(groups.join(stay, "root").select("node", F.col("stay.row").alias("stay")), "node", "left").withColumn("stay", F.coalesce("stay", "least")).filter((F.col("n") > 1) | (F.col("stay") != F.col("least")))
     gone = printed.select("_sh_id", "key").join(tied.select("key", "stay"), "key").filter(F.col("_sh_id") != F.col("stay")).select(F.col("_sh_id").alias("_sh_row"))
     return rows.join(gone, "_sh_row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -295,3 +295,26 @@ def test_links_between_texts_tied_to_different_heads(spark):
     sets = simhash._sets(slim, simhash._printed(slim, 5).selectExpr("key", "node", "0L AS root", "_sh_id AS least"), 5)
     found = components.components(simhash._verified(sets, 0.8, heads=2, block=2)).collect()
     assert len(found) == 4 and len({r.root for r in found}) == 1
+
+
+def test_texts_with_near_fingerprints_leave_one_of_each_group(spark):
+    """Pairs within four bits but below the similarity, fingerprints that texts share, and a text that only an empty one is near to."""
+    rng = np.random.default_rng(6)
+    words = np.array(["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(400)])
+    say = lambda n: rng.choice(words, n).tolist()
+    texts = [" ".join(say(100)) for _ in range(10)]
+    while len(texts) < 22:
+        base = say(300)
+        copy = base[:]
+        for at in rng.choice(300, 18, replace=False):
+            copy[at] = "changed"
+        pair = [" ".join(base), " ".join(copy)]
+        if (simhash.fingerprint(pair[0].encode()) ^ simhash.fingerprint(pair[1].encode())).bit_count() <= 4:
+            texts += pair
+    texts += ["error at line " * 60 + " ".join(say(8)) for _ in range(3)]
+    texts.append(next(t for t in iter(lambda: " ".join(say(5)), None) if simhash.fingerprint(t.encode()).bit_count() <= 4))
+    docs = list(enumerate(texts))
+    assert all(d == g for d, g in near_groups(docs).items())
+    want = {g for g in brute_components([d for d, _ in docs], [brute_fingerprint(t) for t in texts])}
+    left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame([*docs, (-1, None), (-2, " ")], DOCS)).collect()}
+    assert left == want | {-2} and len(want) == len(docs) - 8

@@ -284,3 +284,21 @@ def test_dense_takes_odd_vectors(rows):
     got = {q: [(r.vec_id, round(r.score, 6)) for r in sorted(retrieval.dense(vectors, asked, n=8).collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2, 3)}
     assert got[1] == [(1, 1.0), (6, 0.6), (2, 0.0), (3, 0.0), (4, 0.0), (5, 0.0), (8, 0.0), (7, -1.0)]
     assert got[2] == got[3] == [(i, 0.0) for i in range(1, 9)]
+
+
+def test_packers_hold_a_slice_of_a_batch(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Docs:
+        columns, schema = ["doc_id", "text"], T.StructType().add("doc_id", "long").add("text", "string")
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = [f"{i} " + "Uno dos tres. " * 150 for i in range(3000)] + [None, "", "x " * 2_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    out = list(chunking.pack_documents(Docs())(iter([batch])))
+    assert all(b.nbytes < 2 << 20 for b in out[:-1]) and len(out) >= 6
+    got = [(r["doc_id"], r["piece"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, p) for i, t in enumerate(texts) for p in chunking.pack_paragraphs([t] if t and t.strip() else [], target=450, most=650)]

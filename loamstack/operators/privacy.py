@@ -6,19 +6,34 @@ words, with all spacing taken out. Numbers are looked for in the text as it is.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import ACCOUNT_NUMBER, CARD_NUMBER, CREDENTIAL_TIGHT, CREDENTIAL_WORDS, DISGUISES, EMAIL, IDENTITY_NUMBER, MOBILE_NUMBER, SENSITIVE, SOL_KEY, USER_WITH_VALUE
-from ..functions.text import SPACE, col, folded
+from ..functions.text import col, folded
 
 _MENTION, _LOGIN, _CARE = r"(?iU)\b(?:" + CREDENTIAL_WORDS + r")\b", "(?iU)" + USER_WITH_VALUE, "(?iU)" + SENSITIVE
+#: An address is looked for from the start of a run of its signs only, so a long run is read once, not once from each place.
+_ADDRESS = r"(?<![A-Za-z0-9._%+\-])" + EMAIL
+#: White space but for single spaces, which may stay as they are.
+_RUNS = r"(?U)\s{2,}|[^\S ]"
+#: One of these is in whatever matches; besides ASCII, only the signs in _ODD match an ASCII letter where case does not count.
+_ODD = ("ſ", "ı", "İ", "\u212a")
+_MENTIONED = ("clave", "contrasen", "pass", "pin", "codigo", "otp", "token", "usuario", "user", "credencial", *_ODD)
+_LOGGED, _CARED = ("usuario", "user", "login", "nick", "cuenta", *_ODD), ("mi ", "mis ", *_ODD)
 REASONS = ("clave_sol", "credencial", "usuario", "cuenta_bancaria", "tarjeta", "celular", "dni", "email", "dato_sensible")
 
 
 def unmasked(c: Column | str) -> Column:
     """Folded text with digit disguises undone and spaces squeezed (not trimmed)."""
-    return F.regexp_replace(F.translate(folded(c), *DISGUISES), SPACE, " ")
+    plain = folded(c)
+    for sign, letter in zip(*DISGUISES, strict=True):  # no letter is itself a disguise
+        plain = F.replace(plain, F.lit(sign), F.lit(letter))
+    return F.regexp_replace(plain, _RUNS, " ")
 
 
 def card_numbers(c: Column | str) -> Column:
@@ -27,30 +42,42 @@ def card_numbers(c: Column | str) -> Column:
     return F.filter(runs, lambda x: F.length(x).between(13, 19) & F.call_function("luhn_check", x))
 
 
+def _without(t: Column, signs: str) -> Column:
+    for sign in signs:
+        t = F.replace(t, F.lit(sign))
+    return t
+
+
+def _any(t: Column, parts: Iterable[str]) -> Column:
+    """Whether a part is in the text: a fraction of the cost of a pattern, so patterns are tried only on texts that can match."""
+    return reduce(or_, (t.contains(p) for p in parts))
+
+
 def _views(t: Column) -> dict[str, Column]:
     """The three readings of a text that the rules look at."""
-    return {"_plain": unmasked(t), "_joined": F.regexp_replace(t, r"[ \-]", "")}
+    return {"_plain": unmasked(t), "_joined": _without(t, " -")}
 
 
 def _reasons(t: Column, plain: Column, joined: Column, tight: Column) -> Column:
-    key = plain.rlike("(?U)" + SOL_KEY) | tight.contains("clavesol")
-    account = joined.rlike(ACCOUNT_NUMBER)
+    key = plain.contains("clave") & plain.rlike("(?U)" + SOL_KEY) | tight.contains("clavesol")
+    long = joined.rlike("[0-9]{13}")
+    account = long & joined.rlike(ACCOUNT_NUMBER)
     holds = {
         "clave_sol": key,
-        "credencial": ~key & (plain.rlike(_MENTION) | tight.rlike(CREDENTIAL_TIGHT)),
-        "usuario": plain.rlike(_LOGIN),
+        "credencial": ~key & (_any(plain, _MENTIONED) & plain.rlike(_MENTION) | _any(tight, CREDENTIAL_TIGHT.split("|"))),
+        "usuario": _any(plain, _LOGGED) & plain.rlike(_LOGIN),
         "cuenta_bancaria": account,
-        "tarjeta": F.size(card_numbers(t)) > 0,
-        "celular": t.rlike("(?U)" + MOBILE_NUMBER),
+        "tarjeta": long & (F.size(card_numbers(t)) > 0),
+        "celular": t.contains("9") & t.rlike("(?U)" + MOBILE_NUMBER),
         "dni": ~account & joined.rlike(IDENTITY_NUMBER),
-        "email": t.rlike(EMAIL),
-        "dato_sensible": plain.rlike(_CARE),
+        "email": t.contains("@") & t.rlike(_ADDRESS),
+        "dato_sensible": _any(plain, _CARED) & plain.rlike(_CARE),
     }
     return F.array_compact(F.array(*(F.when(holds[r], F.lit(r)) for r in REASONS)))
 
 
 def _tight(plain: Column) -> Column:
-    return F.regexp_replace(plain, r"(?U)[\s._\-]", "")
+    return _without(plain, " ._-")  # its only white space are spaces
 
 
 def reasons(c: Column | str) -> Column:

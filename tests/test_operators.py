@@ -302,3 +302,24 @@ def test_packers_hold_a_slice_of_a_batch(spark):
     assert all(b.nbytes < 2 << 20 for b in out[:-1]) and len(out) >= 6
     got = [(r["doc_id"], r["piece"]) for b in out for r in b.to_pylist()]
     assert got == [(i, p) for i, t in enumerate(texts) for p in chunking.pack_paragraphs([t] if t and t.strip() else [], target=450, most=650)]
+
+
+def test_privacy_gates_change_no_verdict_and_long_runs_are_read_once(rows):
+    import time
+
+    from loamstack import fixed
+
+    rng = random.Random(5)
+    bits = ["clave", "sol", "CLAVE ", "paſſword", "pın", "PİN", "toKen", "mi", "mıs", " ", " ", "\t", "\n ", "  ", "-", ".", "_", "diagnóstico", "c0nt4", "$en@", "usuario", "cuenta es", ": pepe99", "9", "987 654 321", "+51", "4539 1488", " 0343-6467", "12345678", "1234567890123", "a.b", "@", "c.pe", "x", "٩٨٧", "otp", "credenciales", "cáncer", "vih", "¿", "́"]
+    data = rows("t string", [("".join(rng.choice(bits) for _ in range(rng.randint(1, 9))),) for _ in range(4000)])
+    t = F.col("t")
+    plain = F.regexp_replace(F.translate(privacy.folded(t), *fixed.DISGUISES), r"(?U)\s+", " ")
+    joined, tight = F.regexp_replace(t, r"[ \-]", ""), F.regexp_replace(plain, r"(?U)[\s._\-]", "")
+    key, account = plain.rlike("(?U)" + fixed.SOL_KEY) | tight.contains("clavesol"), joined.rlike(fixed.ACCOUNT_NUMBER)
+    holds = [key, ~key & (plain.rlike(privacy._MENTION) | tight.rlike(fixed.CREDENTIAL_TIGHT)), plain.rlike(privacy._LOGIN), account, F.size(privacy.card_numbers(t)) > 0, t.rlike("(?U)" + fixed.MOBILE_NUMBER), ~account & joined.rlike(fixed.IDENTITY_NUMBER), t.rlike(fixed.EMAIL), plain.rlike(privacy._CARE)]
+    want = F.array_compact(F.array(*(F.when(h, F.lit(r)) for h, r in zip(holds, privacy.REASONS, strict=True))))
+    found = privacy.inspected(data, text="t").select("t", F.col("verdict.reasons").alias("got"), want.alias("want")).collect()
+    assert [r for r in found if r.got != r.want] == [] and {x for r in found for x in r.got} >= {*privacy.REASONS} - {"cuenta_bancaria"}
+    began = time.time()
+    assert privacy.inspected(rows("t string", [("@" + "a" * 600_000,), ("a" * 600_000,)]), text="t").select("verdict.blocked").collect() == [(False,), (False,)]
+    assert time.time() - began < 30
